@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, token_files
+from textwarden.llm import bpe, quality_classifier, quality_rules, token_files
 from textwarden.llm.common import shared_dir
 
 
@@ -22,6 +22,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality_classifier.train(documents, _table(spark, sf_dir, "labels"))
+    return quality_classifier.score(documents, model).select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/textwarden-token-files-{uuid.uuid4().hex}"
     token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
@@ -31,9 +41,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_quality_rules": op3_quality_rules,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_token_files": op6_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE,
+    }
