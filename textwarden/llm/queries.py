@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, quality_classifier, quality_rules, token_files
+from textwarden.llm import bpe, quality_classifier, quality_rules, simhash, token_files
 from textwarden.llm.common import shared_dir
 
 
@@ -38,12 +38,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_quality_rules": op3_quality_rules,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_files": op6_token_files,
+        "op7_simhash": op7_simhash,
     }
 
 
