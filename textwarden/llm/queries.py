@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, quality_classifier, quality_rules, simhash, token_files
+from textwarden.llm import bpe, mixing, quality_classifier, quality_rules, simhash, token_files
 from textwarden.llm.common import shared_dir
 
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = quality_classifier.train(documents, _table(spark, sf_dir, "labels"))
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_quality_rules": op3_quality_rules,
+        "op4_mixing": op4_mixing,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_files": op6_token_files,
         "op7_simhash": op7_simhash,
@@ -56,4 +61,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE,
+        "op4_mixing": mixing.ORACLE,
     }
