@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, mixing, quality_classifier, quality_rules, simhash, token_files
+from textwarden.llm import bpe, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from textwarden.llm.common import shared_dir
 
 
@@ -48,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_files": op6_token_files,
         "op7_simhash": op7_simhash,
+        "op9_url_filter": op9_url_filter,
     }
 
 
@@ -64,4 +69,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE,
         "op4_mixing": mixing.ORACLE,
+        "op9_url_filter": url_filter.oracle(),
     }
