@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
+from textwarden.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from textwarden.llm.common import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return ann.search(ann.index(embeddings), embeddings.filter(F.col("vec_id") % 20 == 0))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_bpe": op1_bpe,
+        "op2_ann": op2_ann,
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
         "op5_quality_classifier": op5_quality_classifier,
