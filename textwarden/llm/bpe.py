@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.common import slices
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 MEMO_WORD_CHARS = 64
 
 #: Fixed values of the vocabulary's file format: its pre-token pattern and byte alphabet.

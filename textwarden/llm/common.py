@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a worker turns into Python objects at a time.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 5_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from textwarden.llm import bpe
 from textwarden.llm.common import slices
@@ -100,35 +101,57 @@ def unpack(image: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library on the distinct blank-separated pieces of many texts.
+    """The tokenizers library on the distinct pre-tokens of many texts.
 
-    No pre-token of such a vocabulary crosses a blank, so a text's ids are its pieces' ids end to
-    end; the tests hold this against encoding whole texts.
+    A vocabulary with word ends encodes each pre-token by itself and marks its last token, so new
+    pre-tokens go to the library in one string and come apart at those marks. A text's ids are its
+    pre-tokens' ids end to end; the tests hold this against the library on whole texts.
     """
 
     def __init__(self, data: str):
         self.library = Tokenizer.from_str(data)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cut = bpe.Codec(data).pieces
+        model = json.loads(data)["model"]
+        merges = [tuple(p) if isinstance(p, list) else tuple(p.split(" ")) for p in model["merges"]]
+        # each pre-token comes once, so the library's own cache would only cost
+        self.library.model = BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self.codec = bpe.Codec(data)
+        self.last = np.array([t.endswith(model["end_of_word_suffix"]) for t in self.codec.vocab.tokens])
+        self.special = {s: struct.pack("<I", i) for s, i in self.codec.vocab.special.items()}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def run(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian uint32."""
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the pieces not met before."""
         if len(self.known) > bpe.MEMO_ENTRIES:
             self.known = {}
-        cut = [self.cut(t) for t in texts]
+        if len(self.pieces) > bpe.MEMO_ENTRIES:
+            self.pieces = {}
+        new = [p for p in pieces if p not in self.pieces]
+        cut = list(map(self.codec.pre_tokens, new))
+        distinct = list({t for ts in cut for t in ts}.difference(self.special, self.known))
+        if distinct:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(distinct)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            data, at = ids.tobytes(), 0
+            for t, end in zip(distinct, (4 * ends).tolist(), strict=True):
+                self.known[t] = data[at:end]
+                at = end
+        self.known |= self.special
+        for p, ts in zip(new, cut):
+            self.pieces[p] = self.known[ts[0]] if len(ts) == 1 else b"".join([self.known[t] for t in ts])
+
+    def run(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian uint32."""
+        cut = [self.codec.pieces(t) for t in texts]
         distinct: set[str] = set()
         for ps in cut:
             distinct.update(ps)
-        new = [p for p in distinct if p not in self.known]
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for p, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = struct.pack(f"<{len(ids := found.ids)}I", *ids)
-        out = [b"".join([*map(self.known.__getitem__, ps), end]) for ps in cut]
+        self.learn(distinct)
+        out = [b"".join([*map(self.pieces.__getitem__, ps), end]) for ps in cut]
         for p in [p for p in distinct if len(p) > bpe.MEMO_WORD_CHARS]:
-            del self.known[p]
+            del self.pieces[p]
         return out
 
 
