@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
+from textwarden.llm import ann, bpe, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from textwarden.llm.common import shared_dir
 
 
@@ -53,10 +53,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
+    return found.select("doc_id", F.array_join(names, ",").alias("licenses"), F.size("found").cast("long").alias("n_found"), F.get(F.col("found"), F.lit(0))["start"].alias("first_start"), F.get(F.col("found"), F.lit(0))["end"].alias("first_end"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -67,7 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_files": op6_token_files,
         "op7_simhash": op7_simhash,
+        "op8_html_text": op8_html_text,
         "op9_url_filter": op9_url_filter,
+        "op10_licenses": op10_licenses,
     }
 
 
