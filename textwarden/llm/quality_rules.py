@@ -119,14 +119,27 @@ def judge(df: DataFrame, host: str = "source", text: str = "text", keep: Sequenc
     return joined.select(*keep, *MEASURES, failed.alias("base_failed"), (~failed & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 
 
+def measured(text: Column) -> Column:
+    """The measures as a column: texts alone go to Python, the rest of a row stays where it is."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        found: list[tuple[int, ...]] = []
+        for a, b in slices(texts):
+            found += map(measures, texts.slice(a, b - a).to_pylist())
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * len(MEASURES), names=MEASURES)
+
+    return run(text.cast("string"))
+
+
 def filter_documents(df: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of df, all columns unchanged, that ``judge`` would keep.
 
     Measures twice rather than moving whole texts through a shuffle or a second table.
     """
     verdicts = host_verdicts(measure(df, text, [host]), host, limit).filter(~F.col("host_kept")).select(F.col(host).alias("__host"))
-    rows = measure(df.select(F.struct("*").alias("__row"), F.col(text).alias("__words_of"), F.col(host).alias("__host_of")), "__words_of", ["__row", "__host_of"])
-    kept = rows.filter(~base_failed()).join(verdicts, F.col("__host_of") == F.col("__host"), "left_anti")
+    packed = df.select(F.struct("*").alias("__row"), measured(F.col(text)).alias("__m"), F.col(host).alias("__host_of"))
+    kept = packed.select("__row", "__host_of", "__m.*").filter(~base_failed()).join(verdicts, F.col("__host_of") == F.col("__host"), "left_anti")
     return kept.select("__row.*")
 
 
