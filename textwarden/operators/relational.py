@@ -20,7 +20,7 @@ from textwarden.operators.lexicon import Lexicon
 
 SPLIT_BIT, LOOKALIKE_BIT = 4, 2
 #: Stands for any one letter in a pattern; texts holding it are mapped to U+FFFD first.
-MASK = ""
+MASK = "\ue000"
 
 
 def readings(df: DataFrame, doc: str, text: str, lexicon: Lexicon | None = None, compatibility: bool = True) -> DataFrame:
