@@ -34,6 +34,8 @@ from textwarden.llm.common import slices
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 65_536
 IMAGE_IDS = 1_000_000
+#: Pieces and pre-tokens, of either so many, whose ids a worker remembers.
+MEMO_ENTRIES = 280_000
 SCHEMA = "part int, seq int, start_in_part long, n_docs long, n_tokens long, image binary"
 
 
@@ -124,9 +126,9 @@ class LibraryEncoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces not met before."""
-        if len(self.known) > bpe.MEMO_ENTRIES:
+        if len(self.known) > MEMO_ENTRIES:
             self.known = {}
-        if len(self.pieces) > bpe.MEMO_ENTRIES:
+        if len(self.pieces) > MEMO_ENTRIES:
             self.pieces = {}
         new = [p for p in pieces if p not in self.pieces]
         cut = list(map(self.codec.pre_tokens, new))
