@@ -66,7 +66,7 @@ def is_persian_letter(c: str) -> bool:
 
 def units(text: str) -> int:
     """Length in UTF-16 units, in which minimum lengths are counted."""
-    return len(text) if text.isascii() else len(text) + sum(c > "￿" for c in text)
+    return len(text) if text.isascii() or max(text) <= "\uffff" else len(text) + sum(c > "\uffff" for c in text)
 
 
 @cache

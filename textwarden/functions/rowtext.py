@@ -83,7 +83,15 @@ def _folded_run(run: str) -> dict[int, str | None]:
     return table
 
 
+@cache
+def _foldable() -> regex.Pattern:
+    """Any character that folding may change or drop."""
+    return regex.compile(f"[{regex.escape(''.join(map(chr, _fold_parts()[3])), special_only=False)}\U00010000-\U0010FFFF]")
+
+
 def fold(text: str) -> str:
+    if not _foldable().search(text):
+        return text
     return _fold_parts()[0].sub(lambda m: m[0].translate(_folded_run(m[0])), text)
 
 
