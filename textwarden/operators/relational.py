@@ -73,8 +73,13 @@ def phrase_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame], longe
 def anywhere_hits(reads: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Every occurrence of the anywhere keys, overlapping ones too, by code point."""
     found = reads.join(F.broadcast(tables["anywhere"]), F.contains("text", "key"))
-    at = F.filter(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring("text", i, F.col("n")) == F.col("key"))
-    return found.select("*", F.explode(at).alias("p")).withColumn("place", F.col("p") - 1).select(*_hit(doc, 1))
+    # cut before every occurrence; each cut's place is the length of what stands before it
+    pieces = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("key"), F.lit(r"\E)")))
+    start = F.when(F.startswith("text", "key"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    state = F.struct(F.lit(0).alias("at"), start.alias("places"))
+    ends = F.aggregate("pieces", state, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["places"], a["at"] + F.length(p)).alias("places")), lambda a: a["places"])
+    cut = found.withColumn("pieces", pieces).withColumn("places", ends)
+    return cut.select("*", F.explode_outer("places").alias("place")).filter(F.col("place") < F.length("text")).select(*_hit(doc, 1))
 
 
 def joined_tokens(tokens: DataFrame, doc: str) -> DataFrame:

@@ -242,8 +242,8 @@ def word_hits(spark, sf):
     return relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark)).select("doc_id", "reading", "place", "key", "entry_order")
 
 
-@query(f"""WITH {readings_sql()}, g AS (SELECT doc_id, reading, unnest(range(0, len(t) - 1)) AS place, unnest(list_transform(range(1, len(t)), lambda i: array_to_string(t[i:i + 1], ' '))) AS key FROM toks
-UNION ALL SELECT doc_id, reading, unnest(range(0, len(t) - 2)) AS place, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS key FROM toks)
+@query(f"""WITH {readings_sql()}, a AS (SELECT doc_id, reading, place, key AS x, lead(key) OVER w AS y, lead(key, 2) OVER w AS z FROM tok WINDOW w AS (PARTITION BY doc_id, reading ORDER BY place)),
+g AS (SELECT doc_id, reading, place, x || ' ' || y AS key FROM a WHERE y IS NOT NULL UNION ALL SELECT doc_id, reading, place, x || ' ' || y || ' ' || z FROM a WHERE z IS NOT NULL)
 SELECT doc_id, reading, place, key, entry_order FROM g JOIN {keys_sql('phrases')} USING (key)""")
 def phrase_hits(spark, sf):
     return relational.phrase_hits(_tokens(spark, sf), "doc_id", _tables(spark), 3).select("doc_id", "reading", "place", "key", "entry_order")
