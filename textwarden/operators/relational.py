@@ -48,8 +48,8 @@ def token_table(df: DataFrame, doc: str, text: str) -> DataFrame:
     return placed.select(doc, pos.cast("int").alias("pos"), F.col("part").alias("tok"), "start", (F.col("start") + F.length("part")).alias("end"))
 
 
-def _hit(doc: str, stage: int, bits: int = 0) -> list[Column]:
-    return [F.col(doc), F.col("reading"), F.col("evasion").bitwiseOR(F.lit(bits)).alias("evasion"), F.lit(stage).alias("stage"), F.col("place").cast("long").alias("place"), F.col("key"), F.col("entry_order")]
+def _hit(doc: str, stage: int | Column, bits: int = 0) -> list[Column]:
+    return [F.col(doc), F.col("reading"), F.col("evasion").bitwiseOR(F.lit(bits)).alias("evasion"), (stage if isinstance(stage, Column) else F.lit(stage)).alias("stage"), F.col("place").cast("long").alias("place"), F.col("key"), F.col("entry_order")]
 
 
 def word_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -58,19 +58,34 @@ def word_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame]) -> Data
     return each.join(F.broadcast(tables["surfaces"]), "key").select(*_hit(doc, 0))
 
 
-def phrase_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame], longest: int) -> DataFrame:
-    """Runs of tokens that are an entry of several words, the last with its suffixes."""
+def grams(longest: int) -> Column:
+    """array<struct<place int, key string>> of the runs of 2 to longest tokens."""
 
-    def grams(n: int) -> Column:
+    def of(n: int) -> Column:
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.array_join(F.slice("tokens", i, F.lit(n)), " ").alias("key")))
 
-    every = F.concat(*[grams(n) for n in range(2, longest + 1)]) if longest > 1 else F.array().cast("array<struct<place:int,key:string>>")
-    each = tokens.select(doc, "reading", "evasion", F.explode_outer(every).alias("g")).select(doc, "reading", "evasion", "g.*").filter("key IS NOT NULL")
+    return F.concat(*[of(n) for n in range(2, longest + 1)]) if longest > 1 else F.array().cast("array<struct<place:int,key:string>>")
+
+
+def phrase_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame], longest: int) -> DataFrame:
+    """Runs of tokens that are an entry of several words, the last with its suffixes."""
+    each = tokens.select(doc, "reading", "evasion", F.explode_outer(grams(longest)).alias("g")).select(doc, "reading", "evasion", "g.*").filter("key IS NOT NULL")
     return each.join(F.broadcast(tables["phrases"]), "key").select(*_hit(doc, 0))
 
 
-def anywhere_hits(reads: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
+def sequence_hits(sequences: DataFrame, doc: str, tables: dict[str, DataFrame], longest: int) -> DataFrame:
+    """Words and phrases of token sequences, whose column stage the hits take, in one join.
+
+    A word has no space and a phrase has, so their keys need no mark.
+    """
+    words = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("key")))
+    each = sequences.select(doc, "reading", "evasion", "stage", F.explode_outer(F.concat(words, grams(longest))).alias("g")).select(doc, "reading", "evasion", "stage", "g.*").filter("key IS NOT NULL")
+    keys = tables["surfaces"].unionByName(tables["phrases"].drop("n"))
+    return each.join(F.broadcast(keys), "key").select(*_hit(doc, F.col("stage")))
+
+
+def anywhere_hits(reads: DataFrame, doc: str, tables: dict[str, DataFrame], stage: Column | int = 1) -> DataFrame:
     """Every occurrence of the anywhere keys, overlapping ones too, by code point."""
     found = reads.join(F.broadcast(tables["anywhere"]), F.contains("text", "key"))
     # cut before every occurrence; each cut's place is the length of what stands before it
@@ -79,28 +94,41 @@ def anywhere_hits(reads: DataFrame, doc: str, tables: dict[str, DataFrame]) -> D
     state = F.struct(F.lit(0).alias("at"), start.alias("places"))
     ends = F.aggregate("pieces", state, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["places"], a["at"] + F.length(p)).alias("places")), lambda a: a["places"])
     cut = found.withColumn("pieces", pieces).withColumn("places", ends)
-    return cut.select("*", F.explode_outer("places").alias("place")).filter(F.col("place") < F.length("text")).select(*_hit(doc, 1))
+    return cut.select("*", F.explode_outer("places").alias("place")).filter(F.col("place") < F.length("text")).select(*_hit(doc, stage))
 
 
-def joined_tokens(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, reading, evasion, place, key, letters): runs of adjacent single letters put together."""
-    single = rf"^[\p{{L}}&&[{C.BMP}]]$"
-    each = tokens.filter(F.exists("tokens", lambda t: t.rlike(single))).select(doc, "reading", "evasion", F.posexplode_outer("tokens").alias("pos", "tok"))
+SINGLE = rf"^[\p{{L}}&&[{C.BMP}]]$"
+
+
+def letter_runs(tokens: DataFrame, doc: str) -> DataFrame:
+    """(doc, reading, evasion, place, key, letters): tokens, runs of adjacent single letters put together.
+
+    Only messages with such a run.
+    """
+    # one mention of tokens: the filter moves to where they are made and repeats what it mentions
+    state = F.struct(F.lit(False).alias("was"), F.lit(False).alias("found"))
+    adjacent = F.aggregate("tokens", state, lambda a, t: F.struct(t.rlike(SINGLE).alias("was"), (a["found"] | (a["was"] & t.rlike(SINGLE))).alias("found")), lambda a: a["found"])
+    some = tokens.filter(adjacent)
+    each = some.select(doc, "reading", "evasion", F.posexplode_outer("tokens").alias("pos", "tok"))
     order = Window.partitionBy(doc, "reading").orderBy("pos")
-    one = F.col("tok").rlike(single)
+    one = F.col("tok").rlike(SINGLE)
     opens = (~(one & F.coalesce(F.lag(one).over(order), F.lit(False)))).cast("int")
     runs = each.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     letters = F.array_sort(F.collect_list(F.struct("pos", "tok")))
     joined = runs.groupBy(doc, "reading", "evasion", "run").agg(letters.alias("l"), F.min("pos").alias("place"), F.count(F.lit(1)).alias("letters"))
-    return joined.filter("letters > 1").select(doc, "reading", "evasion", "place", F.array_join(F.transform("l", lambda x: x["tok"]), "").alias("key"), "letters")
+    return joined.select(doc, "reading", "evasion", "place", F.array_join(F.transform("l", lambda x: x["tok"]), "").alias("key"), "letters")
 
 
-def joined_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Words and anywhere keys in joined letters."""
-    joined = joined_tokens(tokens, doc)
-    words = joined.join(F.broadcast(tables["surfaces"]), "key")
-    inside = joined.withColumnRenamed("key", "word").join(F.broadcast(tables["anywhere"]), F.contains("word", "key"))
-    return words.select(*_hit(doc, 2, SPLIT_BIT)).unionByName(inside.select(*_hit(doc, 2, SPLIT_BIT)))
+def joined_tokens(tokens: DataFrame, doc: str) -> DataFrame:
+    """The runs of two letters or more."""
+    return letter_runs(tokens, doc).filter("letters > 1")
+
+
+def joined_sequences(tokens: DataFrame, doc: str) -> DataFrame:
+    """(doc, reading, evasion, tokens, text) of messages with joined letters, text the tokens by spaces."""
+    runs = letter_runs(tokens, doc).groupBy(doc, "reading", "evasion").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("r"))
+    joined = runs.select(doc, "reading", "evasion", F.transform("r", lambda x: x["key"]).alias("tokens"))
+    return joined.withColumn("text", F.array_join("tokens", " "))
 
 
 def adjacent_pairs(tokens: DataFrame, doc: str) -> DataFrame:
@@ -155,14 +183,22 @@ def chunk_hits(reads: DataFrame, doc: str, lexicon: Lexicon, tables: dict[str, D
 
 
 def hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
-    """All hits of all messages. Phrases and spaced anywhere keys that only joined letters make up are
-    left to the row path; ``contains`` there and here agree on everything else."""
+    """All hits of all messages, from every stage.
+
+    Sequences are the readings' tokens and, where single letters join, the joined tokens.
+    """
     tables = lexicon.tables(df.sparkSession)
     reads = readings(df, doc, text, lexicon, compatibility)
     tokens = with_tokens(reads)
-    found = [word_hits(tokens, doc, tables), phrase_hits(tokens, doc, tables, max([1, *[len(w) for w, _ in lexicon.phrases]])), anywhere_hits(reads, doc, tables)]
+    sequences = tokens.withColumn("stage", F.lit(0))
+    found = []
     if lexicon.options.join_spaced_letters:
-        found += [joined_hits(tokens, doc, tables), split_hits(tokens, doc, tables)]
+        joined = joined_sequences(tokens, doc).withColumns({"stage": F.lit(2), "evasion": F.col("evasion").bitwiseOR(F.lit(SPLIT_BIT))})
+        sequences = sequences.unionByName(joined)
+        found.append(split_hits(tokens, doc, tables))
+    found.append(sequence_hits(sequences, doc, tables, max([1, *[len(w) for w, _ in lexicon.phrases]])))
+    if lexicon.anywhere:
+        found.append(anywhere_hits(sequences, doc, tables, F.greatest(F.col("stage"), F.lit(1))))
     found.append(chunk_hits(reads, doc, lexicon, tables))
     return reduce(DataFrame.unionByName, found)
 
