@@ -280,6 +280,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", keep: Sequ
                 ids, decoded, n = own.run([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())], names=[*keep, "ids_text", "decoded", "n_tokens"])
+        own.ids, own.decoded = {}, {}  # workers live on; what they hold would add to later stages
 
     return source.mapInArrow(batches, schema)
 

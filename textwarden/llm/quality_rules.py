@@ -27,6 +27,8 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: A host goes if its shrunk rate of failures of one rule is above this.
 HOST_LIMIT = 0.5
+#: Rejected hosts are counted, and broadcast up to so many; beyond that the join shuffles.
+BROADCAST_HOSTS = 20_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -137,9 +139,11 @@ def filter_documents(df: DataFrame, host: str = "source", text: str = "text", li
 
     Measures twice rather than moving whole texts through a shuffle or a second table.
     """
-    verdicts = host_verdicts(measure(df, text, [host]), host, limit).filter(~F.col("host_kept")).select(F.col(host).alias("__host"))
+    rejected = materialize(host_verdicts(measure(df, text, [host]), host, limit).filter(~F.col("host_kept")).select(F.col(host).alias("__host")), "rejected-hosts")
+    if rejected.count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
     packed = df.select(F.struct("*").alias("__row"), measured(F.col(text)).alias("__m"), F.col(host).alias("__host_of"))
-    kept = packed.select("__row", "__host_of", "__m.*").filter(~base_failed()).join(verdicts, F.col("__host_of") == F.col("__host"), "left_anti")
+    kept = packed.select("__row", "__host_of", "__m.*").filter(~base_failed()).join(rejected, F.col("__host_of") == F.col("__host"), "left_anti")
     return kept.select("__row.*")
 
 
