@@ -206,6 +206,8 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated"))
     kept = df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    if repeated.isEmpty():
+        return kept
     once = kept.join(repeated, F.col(doc_id) == F.col("__repeated"), "left_anti")
     again = kept.join(repeated, F.col(doc_id) == F.col("__repeated"), "left_semi").dropDuplicates([doc_id])
     return once.unionByName(again)
