@@ -97,3 +97,21 @@ def test_scan_against_plain_search(spark, sf_dir):
         want = sorted((m.start(), n) for line, n in lines.items() for m in re.finditer(re.escape(line), r.text))
         assert [(f.start, f.license) for f in r.found] == want
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_short_notices_pass_the_filter():
+    notices = {
+        "Released under CC BY 4.0.": "CC-BY-4.0", "This work is released under Creative Commons Attribution 4.0.": "CC-BY-4.0", "Distributed under the GPL v3.": "GPL-3.0",
+        "Released under Apache 2.0.": "Apache-2.0", "Available under AGPL v3.": "AGPL-3.0", "Released under MPL 2.0.": "MPL-2.0", "This project is distributed under BSD 3-Clause.": "BSD-3-Clause",
+        "Used\nunder\nCreative\nCommons\nCC0.": "CC0-1.0", "This work has been dedicated to the public\ndomain.": "Unlicense",
+    }
+    for notice, name in notices.items():
+        assert [f["license"] for f in licenses.find(f"junk\n\n{notice}\n\nmore")] == [name], notice
+
+
+def test_triggers_lose_no_match_of_any_pattern():
+    for pattern, name in licenses.SENTENCES:
+        required = pattern.replace("licen[cs]e", "license")
+        while (less := re.sub(r"\((?:\?:)?[^()]*\)[?]", "", required)) != required:
+            required = less
+        assert any(t in required for t in licenses.TRIGGERS), name

@@ -27,8 +27,8 @@ GAP = 3
 #: Lines that one known sentence may be spread over.
 LINES = 14
 
-#: Every known sentence holds one of these, normalised or not.
-TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "liable", "gnu ", "endorse", "cc0", "spdx")
+#: Every known sentence holds one of these, normalised or not: parts of one word, which no line break divides.
+TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "domain", "liable", "endorse", "under")
 
 NAMED = r"(?:(?:licensed|released|distributed|available|published|provided|covered|used)(?: and distributed)?|this (?:work|file|software|project|program|library|code|document|source code|text|content) is (?:licensed|released|distributed|available|published|provided|covered))(?: to you)?"
 UNDER = rf"{NAMED} under(?: the terms of)?(?: the terms and conditions of)?(?: an?| the)?"
