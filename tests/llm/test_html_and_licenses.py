@@ -115,3 +115,30 @@ def test_triggers_lose_no_match_of_any_pattern():
         while (less := re.sub(r"\((?:\?:)?[^()]*\)[?]", "", required)) != required:
             required = less
         assert any(t in required for t in licenses.TRIGGERS), name
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<head><title>T</title>Hello <b>world</b> <a>x</a>", "Hello world x"),
+        ("<html><head><meta charset=u>\n<title>T</title>\n<a>link</a> and <i>more</i>", "link and more"),
+        ("<head><style>p {}</style><script>x</script> <link rel=a><body>b", "b"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>one</text><text>two</text></svg>three", "one two three"),
+        ("<svg><title/><path d='x'/><text>a<tspan>b</tspan></text></svg>", "ab"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x = 1 holds"),
+        ("<table><tr><td>a<svg><text>b</text></svg><td>c</table>", "a b  c"),
+        ("<div><svg><path d=x></div>after<p>last", "after\n\nlast"),
+        ("<svg><defs><g><p>shown<math><annotation>no<b>bold", "shown\u0020bold"),
+        ("<svg><foreignObject><div>in</div></foreignObject><text>next</text></svg>", "in\nnext"),
+        ("<desc>plain</desc> <defs>too</defs>", "plain too"),
+        ("<object data=x>no</object>yes", "yes"),
+        ("<div><object data=x>rest", "rest"),
+    ],
+)
+def test_head_and_foreign_text(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<svg><g>", "<math><mi>", "<head>", "<svg><p>", "<object>"])
+def test_deep_foreign(unit):
+    assert html_text.render(unit * 20_000 + "x") == "x"

@@ -7,7 +7,9 @@ aligned in columns; preformatted text keeps its white space; everything else fol
 Nothing recurses, so depth is unbounded; each page is handled whole, at a cost that grows with its
 length. Defined results: a null or empty page gives an empty text; unclosed and stray tags, unknown
 elements and broken attributes never fail; an empty table of pages gives an empty one; repeated rows
-give repeated results; columns other than the page and the ones kept are not read.
+give repeated results; columns other than the page and the ones kept are not read. Head ends where
+text or a tag stands that may not be in it; text in svg and math is shown, but for what only describes
+or defines; HTML tags that may not stand in them end them; an object's stand-in is hidden if it ends.
 """
 
 from __future__ import annotations
@@ -33,7 +35,16 @@ HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist param source track meta link base area".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title audio video canvas datalist param source track meta link base area".split())
+#: What may stand in head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements in svg and math that are not shown where they stand, and those set apart by a space.
+UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+SPACED_FOREIGN = frozenset("svg math text foreignobject mi mn mo ms mtext".split())
+#: HTML stands in these within svg and math.
+HTML_IN_FOREIGN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: HTML start tags that end svg and math.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr article section".split())
 BLOCK = APART | frozenset("address aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search summary tr caption".split())
 #: Start tags that end an open element of the second kind, up to the nearest of the third.
@@ -59,10 +70,11 @@ WIDEST = 60
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "unseen", "spaced")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.unseen = self.spaced = False
 
     def attribute(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -71,7 +83,7 @@ class Node:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.unseen or self.tag in UNSEEN:
             return True
         low = self.attributes.lower()
         if not low:
@@ -87,16 +99,18 @@ def parse(page: str) -> Node:
     """The tree of a page; implied ends are put in, and a row where a cell has none."""
     root = Node("#root")
     stack = [root]
+    foreign = [False]  # for each open element, whether what it holds is svg or math
     held: Counter[str] = Counter()  # open elements by tag, so that no search is for nothing
     at = 0
 
     def push(node: Node) -> None:
         stack.append(node)
+        foreign.append(node.tag in ("svg", "math") or (foreign[-1] and node.tag not in HTML_IN_FOREIGN))
         held[node.tag] += 1
 
     def cut(k: int) -> None:
         held.subtract(n.tag for n in stack[k:])
-        del stack[k:]
+        del stack[k:], foreign[k:]
 
     def close(tags: Sequence[str], within: Sequence[str]) -> None:
         if not any(held[t] for t in tags):
@@ -108,14 +122,19 @@ def parse(page: str) -> Node:
                 cut(k)
                 return
 
+    def put(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            cut(len(stack) - 1)
+        stack[-1].children.append(text)
+
     last = page.rfind(">")
     while at < len(page):
         m = TOKEN.search(page, at) if at <= last else None  # without a > to come there is no tag
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            put(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            put(html.unescape(page[at : m.start()]))
         at = m.end()
         end, tag, attributes = m[1], (m[2] or m[4] or "").lower(), m[3] or m[5] or ""
         if end:
@@ -124,6 +143,7 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node("br"))
             for k in range(len(stack) - 1, 0, -1) if held[end] else ():
                 if stack[k].tag == end:
+                    stack[k].unseen |= end == "object"  # one without an end does not hide what follows
                     cut(k)
                     break
                 if stack[k].tag in BARRIERS and end not in ("table", "tr", "tbody", "thead", "tfoot"):
@@ -131,18 +151,26 @@ def parse(page: str) -> Node:
             continue
         if not tag:
             continue
+        if tag in ENDS_FOREIGN:
+            while foreign[-1]:
+                cut(len(stack) - 1)
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            cut(len(stack) - 1)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in BLOCK:
             close(("p",), ("table", "td", "th", "button", "object"))
-            if stack[-1].tag == "head":
-                cut(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
             push(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        if foreign[-1]:
+            node.unseen = tag in UNSEEN_FOREIGN
+        node.spaced = tag in ("svg", "math") or (foreign[-1] and tag in SPACED_FOREIGN)
+        if foreign[-1] and attributes.rstrip().endswith("/"):
+            continue
         if tag in RAW:
             found = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
             text = page[at : found.start() if found else len(page)]
@@ -223,7 +251,7 @@ def flat(node: Node) -> str:
             continue
         if x.hidden():
             continue
-        if x.tag in BLOCK or x.tag in ("br", "td", "th"):
+        if x.spaced or x.tag in BLOCK or x.tag in ("br", "td", "th"):
             out.append(" ")
             todo.append(" ")
         if x.tag == "img":
@@ -295,6 +323,8 @@ def render(page: str | None) -> str:
                 continue
             if gap:
                 out.block(gap)
+            if x.spaced:
+                out.space = True
             if tag == "img":
                 out.text(x.attribute("alt") or "")
             elif tag == "table":
@@ -337,7 +367,7 @@ def render(page: str | None) -> str:
                 pre -= 1
             if gap:
                 out.block(gap)
-            elif tag in ("td", "th"):
+            elif x.spaced or tag in ("td", "th"):
                 out.space = True
     return out.result()
 
