@@ -36,3 +36,9 @@ def test_query_rows(spark):
     got = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids_text"), PATH).collect()
     assert sorted((r.doc_id or 0, r.ids_text, r.decoded, r.n_tokens) for r in got) == sorted((i or 0, *expected(t or "")) for i, t in rows)
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_as_arrays(spark):
+    rows = [(1, "hello world"), (2, None), (3, ""), (4, "x" * 70_000)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).orderBy("doc_id").collect()
+    assert [(r.doc_id, " ".join(map(str, r.ids)), r.n_tokens) for r in got] == [(i, expected(t or "")[0], expected(t or "")[2]) for i, t in rows]

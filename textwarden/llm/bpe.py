@@ -17,24 +17,31 @@ import gc
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import slices
 
-MEMO_ENTRIES = 150_000
+#: Pieces, and pre-tokens, whose ids a worker remembers.
+MEMO_ENTRIES = 200_000
 MEMO_WORD_CHARS = 64
+#: Bytes of text that a worker encodes at a time.
+SLICE_BYTES = 8_000_000
 
 #: Fixed values of the vocabulary's file format: its pre-token pattern and byte alphabet.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern where all is ASCII and in lower case.
+ASCII_PRE_TOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+)"
+MARK = "\u0100"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-#: str.split() also cuts at these four, which the vocabulary's \s does not hold.
-NOT_BLANK = regex.compile("[\x1c-\x1f]")
+#: Unicode's white space has these four too, which the vocabulary's \s does not hold.
+NOT_BLANK = r"[\x1c-\x1f]"
 BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -167,27 +174,64 @@ def _leftmost(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-class Codec:
-    """Encodes and decodes texts with one vocabulary, remembering pieces it has met."""
+def strings(array: pa.Array) -> list[str]:
+    """to_pylist(), several times as fast."""
+    return array.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self, data: str):
-        self.vocab = Vocabulary(data)
-        self.pre_token = regex.compile(PRE_TOKEN)
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) or r"(?!)")
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at blanks; joining ids of pieces gives the ids of the text."""
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            if not self.special.search(text):
-                text = unicodedata.normalize("NFC", text)
-        return text.split() if not NOT_BLANK.search(text) else [p for p in BLANKS.split(text) if p]
+class Known:
+    """Strings met so far, each a row of ids in one flat array."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: Sequence[str], flat: np.ndarray, count: np.ndarray) -> None:
+        """count says how many of flat's ids each key has."""
+        first = len(self.start)
+        self.rows.update(zip(keys, range(first, first + len(keys))))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
+
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        """The rows' ids end to end."""
+        count = self.count[rows]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(self.start[rows] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Pieces:
+    """The ids of texts, by their blank-separated pieces; joined, the pieces' ids are the text's.
+
+    Texts are cut and their distinct pieces found in Arrow; a piece met before has its ids in a memo,
+    and encode gets the distinct new pre-tokens, giving their ids end to end and how many each has.
+    """
+
+    def __init__(self, vocab: Vocabulary, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.vocab, self.encode = vocab, encode
+        self.pre_token = regex.compile(PRE_TOKEN)
+        self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) or r"(?!)")
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.tokens = Known(), Known()
+        self.pieces.add([""], np.zeros(0), np.zeros(1, np.int64))
+        self.tokens.add(list(self.vocab.special), np.array(list(self.vocab.special.values())), np.ones(len(self.vocab.special), np.int64))
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """Each text cut at blanks; empty pieces have no ids and do no harm."""
+        odd = pc.invert(pc.string_is_ascii(texts))
+        if pc.any(odd).as_py():
+            normal = [t if unicodedata.is_normalized("NFC", t) or self.special.search(t) else unicodedata.normalize("NFC", t) for t in texts.filter(odd).to_pylist()]
+            texts = pc.replace_with_mask(texts, odd, pa.array(normal, pa.string()))
+            if pc.any(pc.match_substring_regex(texts, NOT_BLANK)).as_py():
+                return pa.array([BLANKS.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+            return pc.utf8_split_whitespace(texts)
+        return pc.ascii_split_whitespace(texts)
 
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a piece, after NFC and lower-casing; special tokens stay whole."""
-        if piece.isalpha() and piece.isascii():
-            return [piece.lower()]
         if self.special.search(piece):
             out, at = [], 0
             for m in self.special.finditer(piece):
@@ -206,48 +250,77 @@ class Codec:
             return [low]
         return self.pre_token.findall(low)
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes the pieces not met before, all their distinct pre-tokens together."""
-        if len(self.ids) > MEMO_ENTRIES:
-            self.ids, self.decoded = {}, {}
-        new = [p for p in pieces if p not in self.ids]
-        cut = list(map(self.pre_tokens, new))
-        distinct = list({t for ts in cut for t in ts}.difference(self.vocab.special))
-        flat, count = encode_words(self.vocab, distinct)
-        numbers = list(map(str, flat.tolist()))
-        strings = list(map(self.vocab.tokens.__getitem__, flat.tolist()))
-        ids = {s: str(i) for s, i in self.vocab.special.items()}
-        decoded = {s: s for s in self.vocab.special}
-        end = 0
-        for token, n in zip(distinct, count.tolist()):
-            start, end = end, end + n
-            ids[token], decoded[token] = " ".join(numbers[start:end]), " ".join(strings[start:end])
-        for piece, ts in zip(new, cut):
-            if len(ts) == 1:
-                self.ids[piece], self.decoded[piece] = ids[ts[0]], decoded[ts[0]]
-            else:
-                self.ids[piece] = " ".join([ids[t] for t in ts])
-                self.decoded[piece] = " ".join([decoded[t] for t in ts])
+    def learn(self, new: pa.Array) -> None:
+        """Encodes the pieces, all their distinct new pre-tokens together."""
+        plain = pc.and_(pc.string_is_ascii(new), pc.invert(pc.match_substring_regex(new, self.special.pattern)) if self.vocab.special else True)
+        word = pc.and_(plain, pc.ascii_is_alpha(new))
+        words, mixed, odd = new.filter(word), new.filter(pc.and_not(plain, word)), strings(new.filter(pc.invert(plain)))
+        # no plain piece holds the mark
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(mixed), pattern=ASCII_PRE_TOKEN, replacement=MARK + r"\1"), MARK)
+        cut = pc.list_slice(cut, 1) if len(cut) else cut
+        rest = [self.pre_tokens(p) for p in odd]
+        tokens = pa.concat_arrays([pc.ascii_lower(words), cut.flatten(), pa.array([t for ts in rest for t in ts], pa.string())]).dictionary_encode()
+        count = np.concatenate((np.ones(len(words), np.int64), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(ts) for ts in rest], np.int64)))
+        distinct = strings(tokens.dictionary)
+        fresh = [t for t in distinct if t not in self.tokens.rows]
+        if fresh:
+            self.tokens.add(fresh, *self.encode(fresh))
+        rows = np.array([self.tokens.rows[t] for t in distinct], np.int64)[tokens.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        each = np.concatenate(([0], np.cumsum(self.tokens.count[rows])))
+        ends = np.concatenate(([0], np.cumsum(count)))
+        self.pieces.add([*strings(words), *strings(mixed), *odd], self.tokens.spread(rows), np.diff(each[ends]))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, and where each text's begin, the end last."""
+        if len(self.pieces.rows) > MEMO_ENTRIES or len(self.tokens.rows) > MEMO_ENTRIES:
+            self.forget()
+        cut = self.split(pc.fill_null(texts, ""))
+        found = cut.flatten().dictionary_encode()
+        distinct = strings(found.dictionary)
+        new = [p for p in distinct if p not in self.pieces.rows]
+        if new:
+            self.learn(pa.array(new, pa.string()))
+        rows = np.array([self.pieces.rows[p] for p in distinct], np.int64)[found.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        each = np.concatenate(([0], np.cumsum(self.pieces.count[rows])))
+        bounds = each[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))))]
+        ids = self.pieces.spread(rows)
+        if any(len(p) > MEMO_WORD_CHARS for p in new):
+            for known in (self.pieces, self.tokens):
+                for p in [p for p in known.rows if len(p) > MEMO_WORD_CHARS]:
+                    del known.rows[p]
+        return ids, bounds
 
-    def run(self, texts: Sequence[str]) -> tuple[list[str], list[str], list[int]]:
+
+class Codec:
+    """Encodes and decodes texts with one vocabulary, remembering pieces it has met."""
+
+    def __init__(self, data: str):
+        self.vocab = Vocabulary(data)
+        self.pieces = Pieces(self.vocab, lambda words: encode_words(self.vocab, words))
+        self.numbers = pa.array(map(str, range(len(self.vocab.tokens))), pa.string())
+        self.strings = pa.array(self.vocab.tokens, pa.string())
+
+    def batch(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Of each text: its ids as decimals joined by spaces, the decoded text, the number of ids."""
-        cut = [self.pieces(t) for t in texts]
-        distinct: set[str] = set()
-        for ps in cut:
-            distinct.update(ps)
-        self.learn(distinct)
-        ids = [" ".join(map(self.ids.__getitem__, ps)) for ps in cut]
-        decoded = [" ".join(map(self.decoded.__getitem__, ps)) for ps in cut]
-        for p in [p for p in distinct if len(p) > MEMO_WORD_CHARS]:
-            del self.ids[p], self.decoded[p]
-        return ids, decoded, [x.count(" ") + 1 if x else 0 for x in ids]
+        ids, bounds = self.pieces.ids(texts)
+        offsets = pa.array(bounds, pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(ids))), " ") for names in (self.numbers, self.strings)]
+        return *joined, pa.array(np.diff(bounds), pa.int64())
+
+    def ids(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of each text: the number of ids, and the ids."""
+        ids, bounds = self.pieces.ids(texts)
+        return pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+
+    def run(self, texts: Sequence[str]) -> tuple[list[str], list[str], list[int]]:
+        return tuple(x.to_pylist() for x in self.batch(pa.array(texts, pa.string())))
 
 
 _codecs: dict[int, Codec] = {}
 
 
 def codec(data: str) -> Codec:
-    """The worker's codec of a vocabulary; workers outlive tasks, so later tasks find it warm."""
+    """The worker's codec of a vocabulary; workers outlive tasks, so later tasks find it loaded."""
     key = hash(data)
     if key not in _codecs:
         _codecs.clear()
@@ -260,31 +333,37 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Encodes and decodes every text.
-
-    vocabulary is the path of the file on the driver; its contents, of fixed size, are broadcast.
-    Returns the columns of keep, ids_text (decimal ids joined by spaces), decoded and n_tokens.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+def _mapped(df: DataFrame, vocabulary: str, text: str, keep: Sequence[str], made: dict[str, str], make: Callable[[Codec, pa.Array], Sequence[pa.Array]]) -> DataFrame:
+    """The columns of keep, and those that make gives of each slice of texts, with their types."""
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     source = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = source.drop("__text").selectExpr("*", "'' AS ids_text", "'' AS decoded", "0L AS n_tokens").schema
+    schema = source.drop("__text").select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in made.items()]).schema
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         gc.disable()  # millions of small strings and no cycles: collections find nothing
         for batch in it:
             texts = batch.column(batch.num_columns - 1)
-            for a, b in slices(texts):
-                ids, decoded, n = own.run([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            for a, b in slices(texts, SLICE_BYTES):
                 kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())], names=[*keep, "ids_text", "decoded", "n_tokens"])
-        own.ids, own.decoded = {}, {}  # workers live on; what they hold would add to later stages
+                yield pa.RecordBatch.from_arrays([*kept, *make(own, texts.slice(a, b - a))], names=[*keep, *made])
+        own.pieces.forget()  # workers live on; what they hold would add to later stages
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(batches, schema)
 
 
-def ids_array(ids_text: str = "ids_text"):
-    """The ids as array<int>, empty for an empty text."""
-    return F.when(F.col(ids_text) == "", F.array().cast("array<int>")).otherwise(F.split(ids_text, " ").cast("array<int>"))
+def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, n_tokens and ids, an array<int>, of every text.
+
+    vocabulary is the path of the file on the driver; its contents, of fixed size, are broadcast.
+    """
+    return _mapped(df, vocabulary, text, keep, {"n_tokens": "long", "ids": "array<int>"}, lambda own, texts: own.ids(texts))
+
+
+def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Encodes and decodes every text.
+
+    Returns the columns of keep, ids_text (decimal ids joined by spaces), decoded and n_tokens.
+    """
+    return _mapped(df, vocabulary, text, keep, {"ids_text": "string", "decoded": "string", "n_tokens": "long"}, lambda own, texts: own.batch(texts))

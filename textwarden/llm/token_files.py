@@ -34,8 +34,6 @@ from textwarden.llm.common import slices
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 65_536
 IMAGE_IDS = 1_000_000
-#: Pieces and pre-tokens, of either so many, whose ids a worker remembers.
-MEMO_ENTRIES = 280_000
 SCHEMA = "part int, seq int, start_in_part long, n_docs long, n_tokens long, image binary"
 
 
@@ -118,43 +116,21 @@ class LibraryEncoder:
         merges = [tuple(p) if isinstance(p, list) else tuple(p.split(" ")) for p in model["merges"]]
         # each pre-token comes once, so the library's own cache would only cost
         self.library.model = BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
-        self.codec = bpe.Codec(data)
-        self.last = np.array([t.endswith(model["end_of_word_suffix"]) for t in self.codec.vocab.tokens])
-        self.special = {s: struct.pack("<I", i) for s, i in self.codec.vocab.special.items()}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces not met before."""
-        if len(self.known) > MEMO_ENTRIES:
-            self.known = {}
-        if len(self.pieces) > MEMO_ENTRIES:
-            self.pieces = {}
-        new = [p for p in pieces if p not in self.pieces]
-        cut = list(map(self.codec.pre_tokens, new))
-        distinct = list({t for ts in cut for t in ts}.difference(self.special, self.known))
-        if distinct:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(distinct)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            data, at = ids.tobytes(), 0
-            for t, end in zip(distinct, (4 * ends).tolist(), strict=True):
-                self.known[t] = data[at:end]
-                at = end
-        self.known |= self.special
-        for p, ts in zip(new, cut):
-            self.pieces[p] = self.known[ts[0]] if len(ts) == 1 else b"".join([self.known[t] for t in ts])
-
-    def run(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian uint32."""
-        cut = [self.codec.pieces(t) for t in texts]
-        distinct: set[str] = set()
-        for ps in cut:
-            distinct.update(ps)
-        self.learn(distinct)
-        out = [b"".join([*map(self.pieces.__getitem__, ps), end]) for ps in cut]
-        for p in [p for p in distinct if len(p) > bpe.MEMO_WORD_CHARS]:
-            del self.pieces[p]
-        return out
+        vocab = bpe.Vocabulary(data)
+        self.last = np.array([t.endswith(model["end_of_word_suffix"]) for t in vocab.tokens])
+        self.pieces = bpe.Pieces(vocab, self.encode)
+
+    def encode(self, pre_tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.library.encode_batch_fast(["\n".join(pre_tokens)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pre_tokens):
+            raise ValueError("the library cut the pre-tokens in another way")
+        return ids, np.diff(ends, prepend=0)
+
+    def run(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, the end id after each text's, and where each text's begin."""
+        ids, bounds = self.pieces.ids(texts)
+        return np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -178,27 +154,37 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int = 1, plane: s
         own, part, seq, start = _encoder(shared.value), TaskContext.get().partitionId(), 0, 0
         gc.disable()
         docs: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
 
         def image() -> pa.RecordBatch:
-            nonlocal docs, held, size, seq, start
-            row = [part, seq, start, len(docs), size // 4, pack(docs, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4"), plane)]
-            seq, start, docs, held, size = seq + 1, start + size // 4, [], [], 0
+            nonlocal docs, sizes, held, seq, start
+            n = sum(sizes)
+            row = [part, seq, start, len(docs), n, pack(docs, sizes, np.concatenate(held), plane)]
+            seq, start, docs, sizes, held = seq + 1, start + n, [], [], []
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in it:
-            for a, b in slices(batch.column(1)):
-                ids = own.run([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], end)
-                for doc, data in zip(batch.column(0).slice(a, b - a).to_pylist(), ids):
-                    if docs and size + len(data) > 4 * image_ids:
+            for a, b in slices(batch.column(1), bpe.SLICE_BYTES):
+                ids, bounds = own.run(batch.column(1).slice(a, b - a), end_id)
+                names, at = batch.column(0).slice(a, b - a).to_pylist(), 0
+                while at < len(names):
+                    # documents that still fit; one that does not makes an image of its own
+                    room = image_ids - sum(sizes) + bounds[at]
+                    to = int(np.searchsorted(bounds, room, "right")) - 1
+                    if to <= at and docs:
                         yield image()
-                    docs.append(doc)
-                    held.append(data)
-                    size += len(data)
+                        continue
+                    to = max(to, at + 1)
+                    docs += names[at:to]
+                    sizes += np.diff(bounds[at : to + 1]).tolist()
+                    held.append(ids[bounds[at] : bounds[to]])
+                    at = to
         if docs:
             yield image()
+        own.pieces.forget()  # workers live on; what they hold would add to later stages
+        pa.default_memory_pool().release_unused()
 
     ordered.mapInArrow(images, SCHEMA).write.parquet(folder)
 
