@@ -44,6 +44,7 @@ REPEATED, LOOKALIKE, SPLIT = "repeatedLetters", "lookalikeCharacters", "splitWor
         (["kir"], "kir" + chr(0x20000), [(0, 4, [LOOKALIKE])]),
         ([BannedWord("fuck", "anywhere")], "clusterfuck", [(0, 11, [])]),
         (["fuck"], "f*ck", [(0, 4, [LOOKALIKE])]),
+        *((["fuck"], f"f{c}ck", [(0, 4, [LOOKALIKE])]) for c in "〇௰௲\U00010400\U00020000"),
         (["fuck"], "fu ck", [(0, 5, [SPLIT])]),
         (["fuck"], "fuc k", []),
         (["asshole"], "a$$hole", [(0, 7, [LOOKALIKE])]),
@@ -97,7 +98,7 @@ def noise(seed, n=300):
         out = ""
         for _ in range(rng.randint(0, 30)):
             if rng.random() < 0.03:
-                out += rng.choice([" ", ""]) + rng.choice(["fuck", "کیر", "idi0t", "s.h.i.t", "f u c k", "جنده‌ها", "kos kesh", "piece of shit"]) + rng.choice([" ", ""])
+                out += rng.choice([" ", ""]) + rng.choice(["fuck", "کیر", "idi0t", "f〇ck", "sh௰t", "f\U00010400ck", "\U00020000fu\U00020000k", "a\U0001F600x", "s.h.i.t", "f u c k", "جنده‌ها", "kos kesh", "piece of shit"]) + rng.choice([" ", ""])
             chars = rng.choices([k for k, _ in kinds], [w for _, w in kinds])[0]
             out += rng.choice(chars) * rng.choices([1, rng.randint(2, 5), rng.randint(6, 39)], [8, 1, 1])[0]
         yield out
@@ -145,7 +146,7 @@ def test_traces_are_the_reading_and_go_forward():
         assert trace.text == T.normalize(text)
         for t, plain in ((trace, trace.text), (trace.squeezed(), T.squeeze(trace.text)), (trace.folded(), T.fold(trace.text)), (trace.folded().squeezed(), T.squeeze(T.fold(trace.text)))):
             assert t.text == plain and len(t.first) == len(t.last) == len(plain)
-            assert t.first == sorted(t.first) and all(a <= b < len(text) for a, b in zip(t.first, t.last))
+            assert list(t.first) == sorted(t.first) and all(a <= b < len(text) for a, b in zip(t.first, t.last))
 
 
 def test_paths_agree(spark, sf_dir):
@@ -154,8 +155,15 @@ def test_paths_agree(spark, sf_dir):
     extra = list(enumerate([t for t in noise(4, 200)], 10**6))
     both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     row = {r.doc_id for r in both.filter(guard.contains("text")).select("doc_id").collect()}
-    joined = {r.doc_id for r in guard.hit_table(both, "doc_id", "text").select("doc_id").distinct().collect()}
-    assert joined == row
+    found = guard.hit_table(both, "doc_id", "text")
+    joined = {r.doc_id: (r.entry_order, r.evasion) for r in relational.first_hits(found, "doc_id").collect()}
+    assert joined.keys() == row
+    first = {}
+    for r in both.collect():
+        hit = next(rowmatch.Message(guard.lexicon, r.text or "").hits(), None)
+        if hit:
+            first[r.doc_id] = (hit.order, hit.evasion)
+    assert joined == first
     assert guard.flagged(docs, "doc_id", "text").count() + guard.clean(docs, "doc_id", "text").count() == docs.count()
 
 
@@ -236,9 +244,23 @@ def test_guard_columns_sql_and_stream(spark, tmp_path):
     assert sorted((r.category, r.matches) for r in spark.table("counts").collect()) == [("insult", 1), ("profanity", 1), ("profanity", 1)]
 
 
-def built(value):
+def test_first_in_anywhere_stages_is_by_list(spark):
+    guard = Guard([BannedWord("zab", "anywhere"), BannedWord("yab", "anywhere")])
+    df = spark.createDataFrame([(1, "yab zab"), (2, "y a b z a b")], "id long, text string")
+    got = relational.first_hits(guard.hit_table(df, "id", "text"), "id").orderBy("id").collect()
+    assert [r.key for r in got] == ["zab"] * 2 == [rowmatch.first_match(guard.lexicon, t)["text"] for t in ("yab zab", "y a b z a b")]
+
+
+def test_long_lists_join_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BROADCAST_KEYS", 0)
+    guard = Guard(wordlist.parse(LIST_TEXT))
+    df = spark.createDataFrame([(1, "you f*ck"), (2, None), (3, "fine")], "id long, text string")
+    assert [r.id for r in guard.flagged(df, "id", "text").collect()] == [1]
+
+
+def built(value, lone=lambda code: "�"):
     if isinstance(value, dict) and "build" in value:
-        return "".join(p["text"] if "text" in p else p["repeat"] * p["times"] if "repeat" in p else "�" for p in value["build"])
+        return "".join(p["text"] if "text" in p else p["repeat"] * p["times"] if "repeat" in p else lone(int(p["utf16"], 16)) for p in value["build"])
     return value
 
 
@@ -254,6 +276,7 @@ def test_cases_of_a_folder():
         words += [BannedWord(e["text"], e.get("mode", "wholeWord"), e.get("category", "uncategorized")) for e in c["wordLists"].get("entries") or []]
         o = c.get("options") or {}
         lexicons[c["name"]] = compile_lexicon(words, GuardOptions(o.get("squeezeRepeatedLetters", True), o.get("foldLookalikeCharacters", True), o.get("joinSpacedLetters", True)))
+    as_entry = lambda w: {"text": w.text, "mode": w.mode, "category": w.category}
     as_match = lambda m: m and {"entry": {k: m[k] for k in ("text", "mode", "category")}, "evasion": m["evasion"], "start": m["index"], "length": m["length"]}
     seen = 0
     for path in sorted(glob.glob(f"{folder}/cases/*.json")):
@@ -265,13 +288,30 @@ def test_cases_of_a_folder():
                 lexicon, text = lexicons[c["configuration"]], built(c["input"])
                 got = (rowmatch.contains(lexicon, text), as_match(rowmatch.first_match(lexicon, text)), [as_match(m) for m in rowmatch.matches(lexicon, text)], rowmatch.censor(lexicon, text))
                 assert got == (want["containsProfanity"], want.get("firstMatch"), want["matches"], built(want["censored"])), c["id"]
+                for mask, out in (want.get("censoredWith") or {}).items():
+                    assert rowmatch.censor(lexicon, text, mask) == built(out), c["id"]
             elif c["kind"] == "normalization":
                 text, steps = built(c["input"]), c["steps"]
                 got = T.to_persian_digits(text) if steps == "toPersianDigits" else T.to_ascii_digits(text) if steps == "toAsciiDigits" else T.normalize(text, steps)
                 assert got == built(want["output"] if isinstance(want, dict) else want), c["id"]
             elif c["kind"] == "tokenization":
                 assert [w for w, _, _ in T.tokens(built(c["input"]) or "")] == want["tokens"], c["id"]
+            elif c["kind"] == "word-list-parsing":
+                try:
+                    assert [as_entry(w) for w in wordlist.parse(built(c["text"]))] == want["entries"], c["id"]
+                except WordListFormatError as e:
+                    assert e.line == want["error"]["line"], c["id"]
+            elif c["kind"] == "category-selection":
+                chosen = c["selection"]
+                words = lists.default() if chosen == "default" else lists.all() if chosen == "all" else lists.bundled(*chosen)
+                assert (len(words), [as_entry(w) for w in words[:5]], [as_entry(w) for w in words[-5:]]) == (want["count"], want["first"], want["last"]), c["id"]
+            elif c["kind"] == "mask-validation":
+                try:
+                    accepted = bool(rowmatch.validate_mask(built(c["mask"], chr)))
+                except ValueError:
+                    accepted = False
+                assert accepted == want["accepted"], c["id"]
             else:
-                continue
+                raise AssertionError(f"unknown kind {c['kind']}")
             seen += 1
     assert seen > 100

@@ -36,7 +36,7 @@ HEH_SUFFIX_START = "ها"
 HEH = "ه"
 VAV = "و"
 
-#: Regex classes, understood alike by Java and by the ``regex`` module.
+#: Regex classes, as Java writes them.
 SPACE_CLASS = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BMP = r"\x{0}-\x{FFFF}"
 JAVA_WORD = rf"(?:[\p{{L}}\p{{M}}\p{{N}}]|(?<=[\p{{L}}&&[{BMP}]])[\x{{200C}}\x{{200D}}])+"
@@ -119,13 +119,22 @@ def members(test) -> str:
     return "".join(c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and test(c))
 
 
-def java_class(chars: str) -> str:
-    """The inside of a regex class of these characters, as ranges."""
+def _ranges(chars: str, one: str) -> str:
     codes, out, k = sorted(map(ord, set(chars))), [], 0
     while k < len(codes):
         j = k
         while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
             j += 1
-        out.append(rf"\x{{{codes[k]:X}}}" + (rf"-\x{{{codes[j]:X}}}" if j > k else ""))
+        out.append(one % codes[k] + ("-" + one % codes[j] if j > k else ""))
         k = j + 1
     return "".join(out)
+
+
+def java_class(chars: str) -> str:
+    """The inside of a Java regex class of these characters, as ranges."""
+    return _ranges(chars, r"\x{%X}")
+
+
+def python_class(chars: str) -> str:
+    """The inside of a Python regex class of these characters, as ranges."""
+    return _ranges(chars, r"\U%08X")

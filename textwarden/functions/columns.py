@@ -22,14 +22,19 @@ def _column(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: Text of these characters alone is in NFKC; everything else is tested by the Arrow function.
+NFKC_STABLE = r"^[\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{621}-\x{64A}\x{660}-\x{66F}\x{671}\x{672}\x{679}-\x{6DB}\x{6E5}-\x{6E6}\x{6EE}-\x{6FF}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2027}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2030}-\x{2032}]*$"
+
+
 def nfkc(text: Column | str) -> Column:
-    """NFKC in Arrow batches."""
+    """NFKC in Arrow batches, only of text that it may change: for the rest nulls go to Python."""
 
     @F.pandas_udf(StringType())
     def normalized(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
+        return batch.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return normalized(_column(text))
+    column = _column(text)
+    return F.coalesce(normalized(F.when(~column.rlike(NFKC_STABLE), column)), column)
 
 
 def translated(text: Column, table: dict[str, str]) -> Column:
@@ -54,20 +59,9 @@ def normalize(text: Column | str, steps: str | Iterable[str] = "comparison", com
     return out
 
 
-#: Text of these characters alone is in NFKC; everything else is tested by the Arrow function.
-NFKC_STABLE = r"^[\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{621}-\x{64A}\x{660}-\x{66F}\x{671}\x{672}\x{679}-\x{6DB}\x{6E5}-\x{6E6}\x{6EE}-\x{6FF}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2027}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2030}-\x{2032}]*$"
-
-
 def normalize_table(df: DataFrame, text: str, to: str, steps: str | Iterable[str] = "comparison") -> DataFrame:
-    """Adds column ``to``. Only rows with characters that NFKC may change go through Python.
-
-    A conditional Python function would run on all rows, so the table is split and put together.
-    Combining marks beyond Arabic are taken as unstable, so the split is safe.
-    """
-    if "compatibilityForms" not in resolve(steps):
-        return df.withColumn(to, normalize(text, steps))
-    stable = _column(text).rlike(NFKC_STABLE)
-    return df.filter(stable).withColumn(to, normalize(text, steps, compatibility=False)).unionByName(df.filter(~stable).withColumn(to, normalize(text, steps)))
+    """Adds column ``to``."""
+    return df.withColumn(to, normalize(text, steps))
 
 
 def to_persian_digits(text: Column | str) -> Column:

@@ -68,6 +68,7 @@ class Lexicon:
                 if form not in ranked or rank < ranked[form][0]:
                     ranked[form] = (rank, order)
         self.surface = {form: order for form, (_, order) in ranked.items()}
+        self.whole = frozenset([*self.words, *self.anywhere])
         self.starts: dict[str, list[tuple[tuple[str, ...], frozenset[str], int]]] = {}
         for words, order in self.phrases:
             last = frozenset(form for rank, form in surfaces(words[-1]) if rank < 0 or rank % 2 == 0)

@@ -1,22 +1,24 @@
-"""Matching as joins: readings, tokens, and the lexicon's tables, for batches.
+"""Matching as a join: readings, tokens, and the lexicon's tables, for batches.
 
-The lexicon is a word list, so its tables are broadcast; their size is that of the list. Tables of
-tokens keep only ids, places and words; texts are joined back by the caller where wanted.
+Each reading brings an array of the keys it may be found by - words, phrases, joined letters, halves,
+chunks, places of anywhere keys - which one join with the lexicon's keys turns into hits. Texts are read
+and normalized once, and nothing but the keys is moved. The keys are broadcast up to BROADCAST_KEYS of
+them; a longer list joins by shuffle. Anywhere and masked keys are literals of the plan.
 
-Hits have: the id, reading, evasion (bits), stage, place, key, entry_order. Stages follow the order of
-preference: 0 words and phrases, 1 anywhere, 2 joined letters, 3 split halves, 4 broken chunks.
+Hits have: the id, reading, evasion (bits), stage, place, key, entry_order, rank. Stages follow the order
+of preference: 0 words and phrases, 1 anywhere, 2 joined letters, 3 anywhere in joined letters, 4 split
+halves, 5 broken chunks. Places are numbers of tokens, of characters in stages 1 and 3, and of chunks in
+stage 5; rank orders what is found at one place, and before the place in stages 1 and 3.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions import charsets as C
 from textwarden.functions import columns as N
-from textwarden.operators.lexicon import Lexicon
+from textwarden.operators.lexicon import Lexicon, surfaces
 
 SPLIT_BIT, LOOKALIKE_BIT = 4, 2
 #: Stands for any one letter in a pattern; texts holding it are mapped to U+FFFD first.
@@ -48,53 +50,167 @@ def token_table(df: DataFrame, doc: str, text: str) -> DataFrame:
     return placed.select(doc, pos.cast("int").alias("pos"), F.col("part").alias("tok"), "start", (F.col("start") + F.length("part")).alias("end"))
 
 
-def _hit(doc: str, stage: int | Column, bits: int = 0) -> list[Column]:
-    return [F.col(doc), F.col("reading"), F.col("evasion").bitwiseOR(F.lit(bits)).alias("evasion"), (stage if isinstance(stage, Column) else F.lit(stage)).alias("stage"), F.col("place").cast("long").alias("place"), F.col("key"), F.col("entry_order")]
+#: Rows of the key table up to which it is broadcast.
+BROADCAST_KEYS = 1_000_000
+FOUND = "array<struct<stage:int,bits:int,kind:string,place:int,key:string>>"
 
 
-def word_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Tokens that are a surface form of an entry."""
-    each = tokens.select(doc, "reading", "evasion", F.posexplode_outer("tokens").alias("place", "key")).filter("key IS NOT NULL")
-    return each.join(F.broadcast(tables["surfaces"]), "key").select(*_hit(doc, 0))
+def key_rows(lexicon: Lexicon) -> list[tuple[str, str, str, int, int]]:
+    """(kind, key, name, entry_order, rank): what a found key of a kind stands for."""
+    rows = [("surface", key, key, order, 0) for key, order in lexicon.surface.items()]
+    for k, (words, order) in enumerate(lexicon.phrases):
+        rows += [("surface", key, key, order, 1 + k) for rank, form in surfaces(words[-1]) if rank < 0 or rank % 2 == 0 for key in [" ".join([*words[:-1], form])]]
+    rows += [("whole", key, key, order, 0) for key, order in lexicon.words.items()] + [("whole", key, key, order, 1) for key, order in lexicon.anywhere.items()]
+    rows += [("anywhere", key, key, order, k) for k, (key, order) in enumerate(lexicon.anywhere.items())]
+    return rows + [("mask", str(k), key, order, 1 + k) for k, (key, _, order) in enumerate(lexicon.maskable)]
 
 
-def grams(longest: int) -> Column:
-    """array<struct<place int, key string>> of the runs of 2 to longest tokens."""
+def key_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
+    rows = key_rows(lexicon)
+    table = spark.createDataFrame(rows, "kind string, key string, name string, entry_order int, rank int")
+    return F.broadcast(table) if len(rows) <= BROADCAST_KEYS else table
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.array_join(F.slice("tokens", i, F.lit(n)), " ").alias("key")))
 
-    return F.concat(*[of(n) for n in range(2, longest + 1)]) if longest > 1 else F.array().cast("array<struct<place:int,key:string>>")
+def found_hits(found: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    """Hits of (doc, reading, evasion, found), found being arrays of candidate keys."""
+    # the outer form: for the plain one the optimizer filters on the array first, computing it again
+    each = found.select(doc, "reading", "evasion", F.explode_outer("found").alias("f")).select(doc, "reading", "evasion", "f.*").filter("key IS NOT NULL")
+    hit = each.join(key_table(found.sparkSession, lexicon), ["kind", "key"])
+    return hit.select(doc, "reading", F.col("evasion").bitwiseOR(F.col("bits")).alias("evasion"), "stage", F.col("place").cast("long").alias("place"), F.col("name").alias("key"), "entry_order", "rank")
 
 
-def phrase_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame], longest: int) -> DataFrame:
-    """Runs of tokens that are an entry of several words, the last with its suffixes."""
-    each = tokens.select(doc, "reading", "evasion", F.explode_outer(grams(longest)).alias("g")).select(doc, "reading", "evasion", "g.*").filter("key IS NOT NULL")
-    return each.join(F.broadcast(tables["phrases"]), "key").select(*_hit(doc, 0))
+def _found(stage: int, bits: int, kind: str, place: Column, key: Column) -> Column:
+    return F.struct(F.lit(stage).alias("stage"), F.lit(bits).alias("bits"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), key.alias("key"))
 
 
-def sequence_hits(sequences: DataFrame, doc: str, tables: dict[str, DataFrame], longest: int) -> DataFrame:
-    """Words and phrases of token sequences, whose column stage the hits take, in one join.
+def longest(lexicon: Lexicon) -> int:
+    return max([1, *[len(words) for words, _ in lexicon.phrases]])
 
-    A word has no space and a phrase has, so their keys need no mark.
-    """
-    words = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("key")))
-    each = sequences.select(doc, "reading", "evasion", "stage", F.explode_outer(F.concat(words, grams(longest))).alias("g")).select(doc, "reading", "evasion", "stage", "g.*").filter("key IS NOT NULL")
-    keys = tables["surfaces"].unionByName(tables["phrases"].drop("n"))
-    return each.join(F.broadcast(keys), "key").select(*_hit(doc, F.col("stage")))
+
+def words_found(tokens: str, stage: int = 0, bits: int = 0) -> Column:
+    """Tokens, each of which may be a surface form of an entry."""
+    return F.transform(tokens, lambda t, i: _found(stage, bits, "surface", i, t))
+
+
+def phrases_found(tokens: str, most: int, stage: int = 0, bits: int = 0) -> Column:
+    """Runs of 2 to most tokens, each of which may be an entry of several words."""
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: _found(stage, bits, "surface", i - 1, F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+
+    return F.concat(*[of(n) for n in range(2, most + 1)]) if most > 1 else F.array().cast(FOUND)
 
 
-def anywhere_hits(reads: DataFrame, doc: str, tables: dict[str, DataFrame], stage: Column | int = 1) -> DataFrame:
+def anywhere_found(text: str, lexicon: Lexicon, stage: int = 1, bits: int = 0) -> Column:
     """Every occurrence of the anywhere keys, overlapping ones too, by code point."""
-    found = reads.join(F.broadcast(tables["anywhere"]), F.contains("text", "key"))
-    # cut before every occurrence; each cut's place is the length of what stands before it
-    pieces = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("key"), F.lit(r"\E)")))
-    start = F.when(F.startswith("text", "key"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    state = F.struct(F.lit(0).alias("at"), start.alias("places"))
-    ends = F.aggregate("pieces", state, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["places"], a["at"] + F.length(p)).alias("places")), lambda a: a["places"])
-    cut = found.withColumn("pieces", pieces).withColumn("places", ends)
-    return cut.select("*", F.explode_outer("places").alias("place")).filter(F.col("place") < F.length("text")).select(*_hit(doc, stage))
+    if not lexicon.anywhere:
+        return F.array().cast(FOUND)
+    keys = F.filter(F.array(*[F.lit(k) for k in lexicon.anywhere]), lambda k: F.contains(text, k))
+
+    def places(k: Column) -> Column:
+        # cut before every occurrence; each cut's place is the length of what stands before it
+        pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), k, F.lit(r"\E)")))
+        none = F.array().cast("array<int>")
+        state = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, k), F.array(F.lit(0))).otherwise(none).alias("places"))
+        ends = F.aggregate(pieces, state, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["places"], a["at"] + F.length(p)).alias("places")), lambda a: a["places"])
+        return F.filter(ends, lambda p: p < F.length(text))
+
+    return F.flatten(F.transform(keys, lambda k: F.transform(places(k), lambda p: _found(stage, bits, "anywhere", p, k))))
+
+
+def joined_line(tokens: str) -> Column:
+    """The tokens with spaces between, but for runs of single letters, which stand together."""
+    letter = rf"[\p{{L}}&&[{C.BMP}]]"
+    return F.regexp_replace(F.array_join(tokens, " "), rf"(?<=(?:^| ){letter}) (?={letter}(?: |$))", "")
+
+
+def halves_found(tokens: str) -> Column:
+    """Neighbours that may be one word split once."""
+    pair = lambda i: F.struct(i.alias("place"), F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b"))
+    starts = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    persian_letter = r"^[\x{600}-\x{6FF}&&\p{L}]"
+
+    def fits(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        x, y = F.length(a), F.length(b)
+        latin = (x >= 2) & (y >= 2) & a.rlike("^[a-z]+$") & b.rlike("^[a-z]+$")
+        persian = ((x == 1) != (y == 1)) & (x + y >= 3) & (a != C.VAV) & (b != C.VAV) & a.rlike(persian_letter) & b.rlike(persian_letter)
+        return latin | persian
+
+    return F.transform(F.filter(F.transform(starts, pair), fits), lambda p: _found(4, SPLIT_BIT, "whole", p["place"] - 1, F.concat(p["a"], p["b"])))
+
+
+SOLID = rf"[\p{{L}}\p{{Nd}}]&&[{C.BMP}]"
+BEYOND = r"[\x{10000}-\x{10FFFF}]"
+
+
+def patterns(text: str) -> Column:
+    """array<struct<place, pattern>>: chunks with symbols inside, MASK in each symbol's place."""
+    enclosed = C.java_class("".join(C.enclosed_table()))
+    folds = {k: v for k, v in (C.folded_letters() | C.enclosed_table() | C.DIGIT_LETTERS).items() if k not in C.SYMBOL_LETTERS}
+    outer = r"[^\p{L}\p{Nd}]+"
+
+    def trimmed(chunk: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(chunk, f"^{outer}", ""), f"{outer}$", "")
+
+    def units(t: Column) -> Column:
+        # a pair kept at the end counts as one unit, elsewhere as two
+        return F.length(F.regexp_replace(t, BEYOND, "__")) - F.when((F.length(t) > 1) & t.rlike(f"{BEYOND}$"), 1).otherwise(0)
+
+    def masked(t: Column) -> Column:
+        bare = F.regexp_replace(t, rf"[[\p{{M}}\p{{Cf}}]&&[{C.BMP}]]", "")
+        return N.translated(F.regexp_replace(bare, rf"[^{enclosed}[{SOLID}]]", MASK), folds)
+
+    chunks = F.transform(F.split(F.translate(text, MASK, "\ufffd"), " "), lambda c, i: F.struct(i.alias("place"), trimmed(c).alias("t")))
+    broken = F.filter(chunks, lambda c: c["t"].rlike(rf"[^[{SOLID}]]") & c["t"].rlike(rf"[\p{{L}}&&[{C.BMP}]]|[{enclosed}]") & (units(c["t"]) >= 3))
+    return F.filter(F.transform(broken, lambda c: F.struct(c["place"].alias("place"), masked(c["t"]).alias("pattern"))), lambda c: F.contains(c["pattern"], F.lit(MASK)))
+
+
+def chunks_found(text: str, lexicon: Lexicon) -> Column:
+    """Patterns with the symbols taken out, or standing for one letter each."""
+    broken, parts = patterns(text), []
+    if lexicon.options.join_spaced_letters:
+        bare = F.transform(broken, lambda c: _found(5, SPLIT_BIT, "surface", c["place"], F.translate(c["pattern"], MASK, "")))
+        parts.append(F.filter(bare, lambda f: F.length(F.regexp_replace(f["key"], BEYOND, "__")) >= 3))
+    if lexicon.options.fold_lookalike_characters and lexicon.maskable:
+        numbered = [(str(k), key, whole) for k, (key, whole, _) in enumerate(lexicon.maskable)]
+        literal = lambda rows: F.array(*[F.struct(F.lit(k).alias("k"), F.lit(key).alias("key")) for k, key in rows])
+        lengths = sorted({len(key) for _, key, whole in numbered if whole})
+        masks = lambda p: F.length(p) - F.length(F.translate(p, MASK, ""))
+        fit = lambda p, key: (masks(p) > 0) & (masks(p) * 2 <= F.length(key)) & F.like(key, F.translate(p, MASK, "_"))
+        emit = lambda c, keys, test: F.transform(F.filter(keys, test), lambda m: _found(5, LOOKALIKE_BIT, "mask", c["place"], m["k"]))
+        if lengths:
+            by_length = F.create_map(*[x for n in lengths for x in (F.lit(n), literal([(k, key) for k, key, whole in numbered if whole and len(key) == n]))])
+            none = F.array().cast("array<struct<k:string,key:string>>")
+            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, F.coalesce(F.try_element_at(by_length, F.length(c["pattern"])), none), lambda m: fit(c["pattern"], m["key"])))))
+        inner = [(k, key) for k, key, whole in numbered if not whole]
+        if inner:
+            window = lambda p, i, key: F.substring(p, i, F.length(key))
+            within = lambda p, key: (F.length(p) >= F.length(key)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(p) - F.length(key) + 1, F.lit(1))), lambda i: fit(window(p, i, key), key))
+            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, literal(inner), lambda m: within(c["pattern"], m["key"])))))
+    return F.concat(*parts) if parts else F.array().cast(FOUND)
+
+
+def word_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    return found_hits(tokens.withColumn("found", words_found("tokens")), doc, lexicon)
+
+
+def phrase_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    return found_hits(tokens.withColumn("found", phrases_found("tokens", longest(lexicon))), doc, lexicon)
+
+
+def anywhere_hits(reads: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    return found_hits(reads.withColumn("found", anywhere_found("text", lexicon)), doc, lexicon)
+
+
+def split_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    return found_hits(tokens.withColumn("found", halves_found("tokens")), doc, lexicon)
+
+
+def chunk_hits(reads: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
+    normal = reads.filter("reading = 0")
+    return found_hits(normal.withColumn("found", chunks_found("text", lexicon)), doc, lexicon)
 
 
 SINGLE = rf"^[\p{{L}}&&[{C.BMP}]]$"
@@ -124,92 +240,36 @@ def joined_tokens(tokens: DataFrame, doc: str) -> DataFrame:
     return letter_runs(tokens, doc).filter("letters > 1")
 
 
-def joined_sequences(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, reading, evasion, tokens, text) of messages with joined letters, text the tokens by spaces."""
-    runs = letter_runs(tokens, doc).groupBy(doc, "reading", "evasion").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("r"))
-    joined = runs.select(doc, "reading", "evasion", F.transform("r", lambda x: x["key"]).alias("tokens"))
-    return joined.withColumn("text", F.array_join("tokens", " "))
-
-
-def adjacent_pairs(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, reading, evasion, place, key) of neighbours that may be one word split once."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct((i - 1).alias("place"), F.element_at("tokens", i).alias("a"), F.element_at("tokens", i + 1).alias("b")))
-    each = tokens.filter(F.size("tokens") > 1).select(doc, "reading", "evasion", F.explode_outer(pairs).alias("p")).select(doc, "reading", "evasion", "p.*").filter("a IS NOT NULL")
-    x, y = F.length("a"), F.length("b")
-    latin = (x >= 2) & (y >= 2) & F.concat("a", "b").rlike("^[a-z]+$")
-    persian_letter = r"^[\x{600}-\x{6FF}&&\p{L}]"
-    persian = ((x == 1) != (y == 1)) & (x + y >= 3) & (F.col("a") != C.VAV) & (F.col("b") != C.VAV) & F.col("a").rlike(persian_letter) & F.col("b").rlike(persian_letter)
-    return each.filter(latin | persian).select(doc, "reading", "evasion", "place", F.concat("a", "b").alias("key"))
-
-
-def split_hits(tokens: DataFrame, doc: str, tables: dict[str, DataFrame]) -> DataFrame:
-    keys = tables["words"].unionByName(tables["anywhere"].select("key", "entry_order"))
-    return adjacent_pairs(tokens, doc).join(F.broadcast(keys), "key").select(*_hit(doc, 3, SPLIT_BIT))
-
-
-def chunk_patterns(reads: DataFrame, doc: str) -> DataFrame:
-    """(doc, place, pattern): chunks of the normalized reading with symbols inside, as patterns."""
-    chunk = F.col("chunk")
-    outer = r"[^\p{L}\p{Nd}]+"
-    trimmed = F.regexp_replace(F.regexp_replace(chunk, f"^{outer}", ""), f"{outer}$", "")
-    each = reads.filter("reading = 0").select(doc, F.posexplode_outer(F.split(F.translate("text", MASK, "�"), " ")).alias("place", "chunk"))
-    # a letter or digit, something else inside, and a letter or digit: other chunks have no pattern
-    each = each.filter(chunk.rlike(r"[\p{L}\p{Nd}].*[^\p{L}\p{Nd}].*[\p{L}\p{Nd}]")).select(doc, "place", trimmed.alias("t")).filter(F.length("t") >= 3)
-    enclosed = C.java_class("".join(C.enclosed_table()))
-    letters = rf"[\p{{L}}&&[{C.BMP}]]|[{enclosed}]"
-    bare = F.regexp_replace("t", r"[\p{M}\p{Cf}]", "")
-    masked = F.regexp_replace(bare, rf"[^\p{{L}}\p{{Nd}}{enclosed}]|[\x{{10000}}-\x{{10FFFF}}&&[^{enclosed}]]", MASK)
-    pattern = N.translated(masked, {k: v for k, v in (C.folded_letters() | C.enclosed_table() | C.DIGIT_LETTERS).items() if k not in C.SYMBOL_LETTERS})
-    return each.filter(F.col("t").rlike(letters)).select(doc, "place", pattern.alias("pattern")).filter(F.contains("pattern", F.lit(MASK)))
-
-
-def chunk_hits(reads: DataFrame, doc: str, lexicon: Lexicon, tables: dict[str, DataFrame]) -> DataFrame:
-    """Patterns with the symbols taken out (an equi-join) or standing for letters (length and LIKE)."""
-    patterns = chunk_patterns(reads, doc).withColumns({"reading": F.lit(0), "evasion": F.lit(0)})
-    out = []
-    if lexicon.options.join_spaced_letters:
-        bare = patterns.withColumn("key", F.translate("pattern", MASK, "")).filter(F.length("key") >= 3)
-        out.append(bare.join(F.broadcast(tables["surfaces"]), "key").select(*_hit(doc, 4, SPLIT_BIT)))
-    if lexicon.options.fold_lookalike_characters:
-        masks = lambda p: F.length(p) - F.length(F.translate(p, MASK, ""))
-        sized = patterns.withColumn("n", F.length("pattern"))
-        whole = sized.join(F.broadcast(tables["maskable"].filter("whole")), "n").filter((masks(F.col("pattern")) * 2 <= F.col("n")) & F.like(F.col("key"), F.translate("pattern", MASK, "_")))
-        out.append(whole.select(*_hit(doc, 4, LOOKALIKE_BIT)))
-        inner = patterns.join(F.broadcast(tables["maskable"].filter("NOT whole")), F.length("pattern") >= F.col("n"))
-        window = lambda i: F.substring("pattern", i, F.col("n"))
-        fits = F.exists(F.sequence(F.lit(1), F.length("pattern") - F.col("n") + 1), lambda i: (masks(window(i)) > 0) & (masks(window(i)) * 2 <= F.col("n")) & F.like(F.col("key"), F.translate(window(i), MASK, "_")))
-        out.append(inner.filter(fits).select(*_hit(doc, 4, LOOKALIKE_BIT)))
-    return reduce(DataFrame.unionByName, out) if out else patterns.filter("false").select(doc, "reading", "evasion", F.lit(4).alias("stage"), F.col("place").cast("long").alias("place"), F.lit("").alias("key"), F.lit(0).alias("entry_order"))
-
-
 def hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
-    """All hits of all messages, from every stage.
-
-    Sequences are the readings' tokens and, where single letters join, the joined tokens.
-    """
-    tables = lexicon.tables(df.sparkSession)
-    reads = readings(df, doc, text, lexicon, compatibility)
-    tokens = with_tokens(reads)
-    sequences = tokens.withColumn("stage", F.lit(0))
-    found = []
-    if lexicon.options.join_spaced_letters:
-        joined = joined_sequences(tokens, doc).withColumns({"stage": F.lit(2), "evasion": F.col("evasion").bitwiseOR(F.lit(SPLIT_BIT))})
-        sequences = sequences.unionByName(joined)
-        found.append(split_hits(tokens, doc, tables))
-    found.append(sequence_hits(sequences, doc, tables, max([1, *[len(w) for w, _ in lexicon.phrases]])))
-    if lexicon.anywhere:
-        found.append(anywhere_hits(sequences, doc, tables, F.greatest(F.col("stage"), F.lit(1))))
-    found.append(chunk_hits(reads, doc, lexicon, tables))
-    return reduce(DataFrame.unionByName, found)
+    """All hits of all messages, from every stage."""
+    most, options = longest(lexicon), lexicon.options
+    tokens = with_tokens(readings(df, doc, text, lexicon, compatibility))
+    found = [words_found("tokens"), phrases_found("tokens", most), anywhere_found("text", lexicon)]
+    if options.join_spaced_letters:
+        line = joined_line("tokens")
+        tokens = tokens.withColumn("joined", F.when(line != F.array_join("tokens", " "), line)).withColumn("parts", F.split("joined", " "))
+        joined = [words_found("parts", 2, SPLIT_BIT), phrases_found("parts", most, 2, SPLIT_BIT), anywhere_found("joined", lexicon, 3, SPLIT_BIT)]
+        found += [F.when(F.col("joined").isNotNull(), F.concat(*joined)).otherwise(F.array().cast(FOUND)), halves_found("tokens")]
+    if options.join_spaced_letters or options.fold_lookalike_characters:
+        found.append(F.when(F.col("reading") == 0, chunks_found("text", lexicon)).otherwise(F.array().cast(FOUND)))
+    return found_hits(tokens.select(doc, "reading", "evasion", F.concat(*found).alias("found")), doc, lexicon)
 
 
 def first_hits(found: DataFrame, doc: str) -> DataFrame:
-    """One row a message: the hit of the earliest reading and stage, then place and list order.
+    """One row a message: the hit that the least evasion undone brings, in the order of readings and stages.
 
+    Within a stage the earliest place is first, but in anywhere stages the earliest key of the list.
     Broken chunks come after all readings.
     """
-    rank = F.struct(F.when(F.col("stage") == 4, 4).otherwise(F.col("reading")).alias("r"), "stage", "place", "entry_order")
-    best = found.groupBy(doc).agg(F.min_by(F.struct("reading", "evasion", "stage", "place", "key", "entry_order"), rank).alias("h"))
+    anywhere = F.col("stage").isin(1, 3)
+    order = F.struct(
+        F.when(F.col("stage") == 5, 4).otherwise(F.col("reading")).alias("r"),
+        "stage",
+        F.when(anywhere, F.col("rank")).otherwise(F.col("place")).alias("ord1"),
+        F.when(anywhere, F.col("place")).otherwise(F.col("rank")).alias("ord2"),
+        "entry_order",
+    )
+    best = found.groupBy(doc).agg(F.min_by(F.struct("reading", "evasion", "stage", "place", "key", "entry_order"), order).alias("h"))
     return best.select(doc, "h.*")
 
 

@@ -8,9 +8,10 @@ asking for one stops the work.
 from __future__ import annotations
 
 import codecs
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import regex
 
@@ -24,6 +25,9 @@ MASK_LENGTH = 4
 #: Stands for any one letter in a broken chunk's pattern.
 ANY = "\0"
 Token = tuple[str, int, int]
+#: ASCII characters that are neither letters nor digits; of the basic plane, letters and digits alone.
+ASCII_SYMBOLS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+SOLID = regex.compile(r"[[\p{L}\p{Nd}]&&[\u0000-\uFFFF]]*", regex.V1)
 
 
 @dataclass(frozen=True)
@@ -77,23 +81,26 @@ class Message:
     def hits(self) -> Iterator[Hit]:
         if not self.lexicon.count or not self.normalized:
             return
-        options = self.lexicon.options
+        lexicon, options = self.lexicon, self.lexicon.options
         for number, evasion, text in self.readings():
-            words = rowtext.tokens(text)
-            for start, end, order in self.in_tokens(words):
-                yield Hit(number, start, end, order, evasion)
+            # most readings hold nothing, which bare words tell; places are for those that may hold something
+            names = rowtext.words(text)
+            if not lexicon.surface.keys().isdisjoint(names) or not lexicon.starts.keys().isdisjoint(names):
+                for start, end, order in self.in_tokens(rowtext.tokens(text)):
+                    yield Hit(number, start, end, order, evasion)
             for start, end, order in self.anywhere(text):
                 yield Hit(number, start, end, order, evasion)
             if options.join_spaced_letters:
-                joined = joined_letters(words)
-                if joined:
+                single = [k for k, w in enumerate(names) if len(w) == 1]
+                if any(b - a == 1 for a, b in zip(single, single[1:])) and (joined := joined_letters(words := rowtext.tokens(text))):
                     for start, end, order in self.in_tokens(joined):
                         yield Hit(number, start, end, order, evasion | SPLIT)
                     line, places = spaced(joined, words)
                     for start, end, order in self.anywhere(line):
                         yield Hit(number, places[start], places[end - 1] + 1, order, evasion | SPLIT)
-                for start, end, order in self.halves(words):
-                    yield Hit(number, start, end, order, evasion | SPLIT)
+                if not lexicon.whole.isdisjoint(map(str.__add__, names, names[1:])):
+                    for start, end, order in self.halves(rowtext.tokens(text)):
+                        yield Hit(number, start, end, order, evasion | SPLIT)
         yield from self.broken_chunks()
 
     def in_tokens(self, words: list[Token]) -> Iterator[tuple[int, int, int]]:
@@ -129,14 +136,17 @@ class Message:
         options = self.lexicon.options
         if not (options.join_spaced_letters or options.fold_lookalike_characters):
             return
-        for m in regex.finditer("[^ ]+", self.normalized):
-            if m[0].isalnum():
+        following = 0
+        for chunk in self.normalized.split(" "):
+            first, following = following, following + len(chunk) + 1
+            inner = chunk.strip(ASCII_SYMBOLS)
+            if inner.isalnum() if inner.isascii() else SOLID.fullmatch(inner):
                 continue
-            found = chunk_pattern(m[0])
+            found = chunk_pattern(chunk)
             if found is None:
                 continue
             pattern, a, b = found
-            start, end = m.start() + a, m.start() + b
+            start, end = first + a, first + b
             if options.join_spaced_letters:
                 bare = pattern.replace(ANY, "")
                 if C.units(bare) >= 3 and (order := self.lexicon.surface.get(bare)) is not None:
@@ -160,31 +170,15 @@ class Message:
             self.traces[reading] = {1: lambda: self.trace(0).squeezed(), 2: lambda: self.trace(0).folded(), 3: lambda: self.trace(2).squeezed()}[reading]()
         return self.traces[reading]
 
-    @cached_property
-    def own_words(self) -> list[Token]:
-        return rowtext.tokens(self.text)
-
     def placed(self, hit: Hit) -> tuple[int, int, int]:
         """(start, end, length before widening) of a hit in the message, widened to whole words."""
         trace = self.trace(hit.reading)
-        start, end = trace.first[hit.start], trace.last[hit.end - 1] + 1
+        start, end = int(trace.first[hit.start]), int(trace.last[hit.end - 1]) + 1
         length = C.units(self.text[start:end])
-        while start > 0 and self.inside(start - 1):
+        while start > 0 and rowtext.PART.match(self.text, start - 1):
             start -= 1
-        while end < len(self.text) and self.inside(end):
-            end += 1
-        return start, end, length
-
-    @cached_property
-    def covered(self) -> bytearray:
-        out = bytearray(len(self.text))
-        for _, a, b in self.own_words:
-            out[a:b] = b"\1" * (b - a)
-        return out
-
-    def inside(self, at: int) -> bool:
-        """Whether the character belongs to a word of the message."""
-        return bool(self.covered[at])
+        rest = rowtext.WORD.match(self.text, end)
+        return start, rest.end() if rest else end, length
 
     def first(self) -> Region | None:
         hit = next(self.hits(), None)
@@ -255,6 +249,11 @@ def halves_may_join(a: str, b: str) -> bool:
     return (x == 1) != (y == 1) and x + y >= 3 and C.VAV not in (a, b) and C.is_persian_letter(a[0]) and C.is_persian_letter(b[0])
 
 
+@cache
+def chunk_letters() -> dict[str, str]:
+    return C.folded_letters() | C.DIGIT_LETTERS
+
+
 def chunk_pattern(chunk: str) -> tuple[str, int, int] | None:
     """(pattern, start, end) of a chunk with at least one symbol and one letter inside, else None."""
     solid = [C.category(c)[0] == "L" or C.category(c) == "Nd" for c in chunk]
@@ -265,7 +264,7 @@ def chunk_pattern(chunk: str) -> tuple[str, int, int] | None:
     if C.units(chunk[a:b]) - (b - a > 1 and not C.is_bmp(chunk[b - 1])) < 3:
         return None
     out, letters = [], 0
-    letters_of, enclosed = C.folded_letters() | C.DIGIT_LETTERS, C.enclosed_table()
+    letters_of, enclosed = chunk_letters(), C.enclosed_table()
     for c in chunk[a:b]:
         if not C.is_bmp(c):
             out.append(enclosed.get(c, ANY))
@@ -343,11 +342,11 @@ def censor(lexicon: Lexicon, text: str | None, mask: str = "*") -> str:
 # ---- byte messages: invalid UTF-8 is read as U+FFFD and returned as it was
 
 
-_bad: list[tuple[int, int]] = []
+_decoding = threading.local()
 
 
 def _mark(error: UnicodeDecodeError) -> tuple[str, int]:
-    _bad.append((error.start, error.end))
+    _decoding.broken[error.start] = error.end
     return "\ufffd", error.end
 
 
@@ -356,23 +355,35 @@ codecs.register_error("textwarden-mark", _mark)
 
 def decoded(data: bytes) -> tuple[str, list[int]]:
     """The text, and the byte at which each character starts, with the end last."""
-    _bad.clear()
+    _decoding.broken = broken = {}
     text = bytes(data).decode(errors="textwarden-mark")
-    broken, starts, at = dict(_bad), [], 0
+    if len(text) == len(data):
+        return text, list(range(len(data) + 1))
+    starts, at = [], 0
     for c in text:
         starts.append(at)
         at = broken[at] if at in broken else at + len(c.encode())
     return text, [*starts, at]
 
 
+def in_bytes(match: dict, starts: list[int]) -> dict:
+    a, b = starts[match["index"]], starts[match["index"] + match["length"]]
+    return match | {"index": a, "length": b - a}
+
+
+def contains_bytes(lexicon: Lexicon, data: bytes | None) -> bool:
+    return contains(lexicon, decoded(data or b"")[0])
+
+
+def first_match_bytes(lexicon: Lexicon, data: bytes | None) -> dict | None:
+    text, starts = decoded(data or b"")
+    found = first_match(lexicon, text)
+    return found and in_bytes(found, starts)
+
+
 def matches_bytes(lexicon: Lexicon, data: bytes | None) -> list[dict]:
     text, starts = decoded(data or b"")
-    out = matches(lexicon, text)
-    for m in out:
-        end = starts[m["index"] + m["length"]]
-        m["index"] = starts[m["index"]]
-        m["length"] = end - m["index"]
-    return out
+    return [in_bytes(m, starts) for m in matches(lexicon, text)]
 
 
 def censor_bytes(lexicon: Lexicon, data: bytes | None, mask: str = "*") -> bytes:

@@ -66,11 +66,12 @@ class Guard:
         return self._column("censor_bytes", "binary", data, mask=rowmatch.validate_mask(mask))
 
     def contains_bytes(self, data: Column | str) -> Column:
-        return F.size(self.matches_bytes(data)) > 0
+        return self._column("contains_bytes", "boolean", data)
 
     def first_match_bytes(self, data: Column | str) -> Column:
-        """The first region of a binary message."""
-        return F.get(self.matches_bytes(data), F.lit(0))
+        """As first_match, of binary messages; index and length count bytes."""
+        found = self._column("first_match_bytes", MATCH_TYPE, data)
+        return F.when(found["text"].isNotNull(), found)
 
     def match_table(self, df: DataFrame, text: str, *keep: str) -> DataFrame:
         """A row for each match, with the columns of keep."""

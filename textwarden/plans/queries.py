@@ -7,6 +7,8 @@ that occur in the tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -19,6 +21,7 @@ from textwarden.functions.steps import character_table, resolve
 from textwarden.operators import relational
 from textwarden.operators.lexicon import Lexicon, compile_lexicon, surfaces
 from textwarden.plans.guard import Guard
+from textwarden.plans.recorded import RECORDED
 from textwarden.schemas import BannedWord
 from textwarden.sources import wordlist
 
@@ -63,8 +66,8 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return relational.with_tokens(_reads(spark, sf))
 
 
-def _tables(spark: SparkSession) -> dict[str, DataFrame]:
-    return lexicon().tables(spark)
+def _entries(spark: SparkSession) -> DataFrame:
+    return lexicon().tables(spark)["entries"]
 
 
 # ---- SQL pieces
@@ -111,12 +114,20 @@ def sql_fold(x: str) -> str:
   lambda r: CASE WHEN regexp_matches(r, '\\p{{L}}') THEN {sql_translate('r', digits)} ELSE r END), '') ELSE bare END""", letters)} FROM (SELECT regexp_replace({x}, '[{filler}]', '', 'g') AS bare))"""
 
 
+#: Vowels as look-alikes and symbols, the same in both engines: documents whose words are disguised.
+DISGUISE = ("ouia", "0*1@")
+
+
+def _disguised(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").withColumn("text", F.translate("text", *DISGUISE))
+
+
 SQL_WORD = r"[\p{L}\p{M}\p{N}]+"
 NORM = f"SELECT doc_id, {sql_normalize('text')} AS norm FROM documents"
 
 
-def readings_sql() -> str:
-    return f"""n AS ({NORM}), n1 AS (SELECT doc_id, norm, {sql_squeeze('norm')} AS sq, {sql_fold('norm')} AS fo FROM n WHERE norm <> ''),
+def readings_sql(text: str = "text") -> str:
+    return f"""n AS (SELECT doc_id, {sql_normalize(text)} AS norm FROM documents), n1 AS (SELECT doc_id, norm, {sql_squeeze('norm')} AS sq, {sql_fold('norm')} AS fo FROM n WHERE norm <> ''),
 n2 AS (SELECT *, {sql_squeeze('fo')} AS fs FROM n1),
 reads AS (SELECT doc_id, 0 AS reading, norm AS text FROM n2 UNION ALL SELECT doc_id, 1, sq FROM n2 WHERE sq <> norm UNION ALL SELECT doc_id, 2, fo FROM n2 WHERE fo <> norm AND fo <> sq
   UNION ALL SELECT doc_id, 3, fs FROM n2 WHERE fs <> norm AND fs <> sq AND fs <> fo),
@@ -124,16 +135,53 @@ toks AS (SELECT doc_id, reading, reading AS evasion, text, regexp_extract_all(te
 tok AS (SELECT doc_id, reading, evasion, unnest(t) AS key, unnest(range(0, len(t))) AS place FROM toks)"""
 
 
+def hits_sql(text: str = "text") -> str:
+    """hits (doc_id, reading, evasion, stage, place, key, entry_order, rank) of every stage."""
+    mask = relational.MASK
+    symbol, marks, letter = r"[^\p{L}\p{Nd}]", r"[\p{M}\p{Cf}]", r"\p{L}"
+    folds = {k: v for k, v in (C.folded_letters() | C.DIGIT_LETTERS).items() if k not in C.SYMBOL_LETTERS}
+    fits = lambda p, key: f"(length({p}) > length(translate({p}, '{mask}', '')) AND 2 * (length({p}) - length(translate({p}, '{mask}', ''))) <= length({key}) AND {key} LIKE translate({p}, '{mask}', '_'))"
+    grams = lambda source: f"""(SELECT doc_id, reading, evasion, place, x || ' ' || y AS key FROM {source} WHERE y IS NOT NULL UNION ALL SELECT doc_id, reading, evasion, place, x || ' ' || y || ' ' || z FROM {source} WHERE z IS NOT NULL)"""
+    near = lambda source: f"SELECT doc_id, reading, evasion, place, key AS x, lead(key) OVER w AS y, lead(key, 2) OVER w AS z FROM {source} WINDOW w AS (PARTITION BY doc_id, reading ORDER BY place)"
+    inside = lambda source: f"""SELECT doc_id, reading, evasion, i - 1 AS place, key, entry_order, rank FROM (SELECT doc_id, reading, evasion, text, key, entry_order, rank, unnest(range(1, length(text) - length(key) + 2)) AS i
+FROM {source} JOIN anywhere_keys ON contains(text, key)) WHERE substr(text, i, length(key)) = key"""
+    return f"""{readings_sql(text)}, word_keys AS {keys_sql('surfaces')}, phrase_keys AS {keys_sql('phrases')}, anywhere_keys AS {keys_sql('anywhere')}, whole_keys AS {keys_sql('words')}, mask_keys AS {keys_sql('maskable')},
+near AS ({near('tok')}),
+one AS (SELECT *, regexp_matches(key, '^{letter}$') AS single FROM tok),
+opened AS (SELECT *, CASE WHEN single AND coalesce(lag(single) OVER w, false) THEN 0 ELSE 1 END AS opens FROM one WINDOW w AS (PARTITION BY doc_id, reading ORDER BY place)),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, reading ORDER BY place) AS run FROM opened),
+merged AS (SELECT doc_id, reading, evasion, run - 1 AS place, string_agg(key, '' ORDER BY place) AS key, count(*) AS n FROM runs GROUP BY doc_id, reading, evasion, run),
+joined AS (SELECT doc_id, reading, evasion + 4 AS evasion, place, key FROM merged SEMI JOIN (SELECT doc_id, reading FROM merged WHERE n > 1) x USING (doc_id, reading)),
+line AS (SELECT doc_id, reading, evasion, string_agg(key, ' ' ORDER BY place) AS text FROM joined GROUP BY doc_id, reading, evasion),
+joined_near AS ({near('joined')}),
+pieces AS (SELECT doc_id, unnest(string_split(norm, ' ')) AS chunk, unnest(range(0, len(string_split(norm, ' ')))) AS place FROM n WHERE norm <> ''),
+inner_pieces AS (SELECT doc_id, place, regexp_replace(regexp_replace(chunk, '^{symbol}+', ''), '{symbol}+$', '') AS t FROM pieces),
+masked AS (SELECT doc_id, place, {sql_translate(f"regexp_replace(regexp_replace(t, '{marks}', '', 'g'), '{symbol}', '{mask}', 'g')", folds)} AS p FROM inner_pieces WHERE length(t) >= 3 AND regexp_matches(t, '{letter}')),
+pattern AS (SELECT doc_id, 0 AS reading, place, p FROM masked WHERE contains(p, '{mask}')),
+hits AS (SELECT doc_id, reading, evasion, 0 AS stage, place, key, entry_order, 0 AS rank FROM tok JOIN word_keys USING (key)
+UNION ALL SELECT doc_id, reading, evasion, 0, place, key, entry_order, 1 + rank FROM {grams('near')} JOIN phrase_keys USING (key)
+UNION ALL SELECT doc_id, reading, evasion, 1, place, key, entry_order, rank FROM ({inside('toks')})
+UNION ALL SELECT doc_id, reading, evasion, 2, place, key, entry_order, 0 FROM joined JOIN word_keys USING (key)
+UNION ALL SELECT doc_id, reading, evasion, 2, place, key, entry_order, 1 + rank FROM {grams('joined_near')} JOIN phrase_keys USING (key)
+UNION ALL SELECT doc_id, reading, evasion, 3, place, key, entry_order, rank FROM ({inside('line')})
+UNION ALL SELECT doc_id, reading, evasion + 4, 4, place, key, entry_order, rank FROM near JOIN whole_keys ON key = x || y WHERE length(x) >= 2 AND length(y) >= 2 AND regexp_matches(x || y, '^[a-z]+$')
+UNION ALL SELECT doc_id, reading, 4, 5, place, key, entry_order, 0 FROM pattern JOIN word_keys ON key = translate(p, '{mask}', '') WHERE length(key) >= 3
+UNION ALL SELECT doc_id, reading, 2, 5, place, key, entry_order, 1 + rank FROM pattern JOIN mask_keys ON whole AND length(p) = length(key) AND {fits('p', 'key')}
+UNION ALL SELECT doc_id, reading, 2, 5, place, key, entry_order, 1 + rank FROM pattern JOIN mask_keys ON NOT whole AND length(p) >= length(key) AND len(list_filter(range(1, length(p) - length(key) + 2), lambda i: {fits('substr(p, i, length(key))', 'key')})) > 0)"""
+
+
 def keys_sql(name: str) -> str:
     lex = lexicon()
     if name == "surfaces":
         return values(sorted(lex.surface.items()), "key, entry_order")
     if name == "words":
-        return values([*lex.words.items(), *lex.anywhere.items()], "key, entry_order")
+        return values([*[(k, o, 0) for k, o in lex.words.items()], *[(k, o, 1) for k, o in lex.anywhere.items()]], "key, entry_order, rank")
     if name == "anywhere":
-        return values(list(lex.anywhere.items()), "key, entry_order")
+        return values([(k, o, n) for n, (k, o) in enumerate(lex.anywhere.items())], "key, entry_order, rank")
     if name == "phrases":
-        return values([(" ".join([*w[:-1], form]), len(w), o) for w, o in lex.phrases for rank, form in surfaces(w[-1]) if rank < 0 or rank % 2 == 0], "key, n, entry_order")
+        return values([(" ".join([*w[:-1], form]), len(w), o, n) for n, (w, o) in enumerate(lex.phrases) for rank, form in surfaces(w[-1]) if rank < 0 or rank % 2 == 0], "key, n, entry_order, rank")
+    if name == "maskable":
+        return values([(k, w, o, n) for n, (k, w, o) in enumerate(lex.maskable)], "key, whole, entry_order, rank")
     return values([(k, e.text, e.mode, e.category) for k, e in enumerate(lex.entries)], "entry_order, entry, mode, category")
 
 
@@ -239,20 +287,20 @@ def suffix_expansion(spark, sf):
 
 @query(f"WITH {readings_sql()} SELECT doc_id, reading, place, key, entry_order FROM tok JOIN {keys_sql('surfaces')} USING (key)")
 def word_hits(spark, sf):
-    return relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark)).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.word_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()}, a AS (SELECT doc_id, reading, place, key AS x, lead(key) OVER w AS y, lead(key, 2) OVER w AS z FROM tok WINDOW w AS (PARTITION BY doc_id, reading ORDER BY place)),
 g AS (SELECT doc_id, reading, place, x || ' ' || y AS key FROM a WHERE y IS NOT NULL UNION ALL SELECT doc_id, reading, place, x || ' ' || y || ' ' || z FROM a WHERE z IS NOT NULL)
 SELECT doc_id, reading, place, key, entry_order FROM g JOIN {keys_sql('phrases')} USING (key)""")
 def phrase_hits(spark, sf):
-    return relational.phrase_hits(_tokens(spark, sf), "doc_id", _tables(spark), 3).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.phrase_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()} SELECT doc_id, reading, i - 1 AS place, key, entry_order FROM (SELECT doc_id, reading, text, key, entry_order, unnest(range(1, length(text) - length(key) + 2)) AS i
 FROM reads JOIN {keys_sql('anywhere')} ON contains(text, key)) WHERE substr(text, i, length(key)) = key""")
 def anywhere_hits(spark, sf):
-    return relational.anywhere_hits(_reads(spark, sf), "doc_id", _tables(spark)).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.anywhere_hits(_reads(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()}, o AS (SELECT *, length(key) = 1 AND regexp_matches(key, '^\\p{{L}}$') AS one FROM tok),
@@ -266,55 +314,68 @@ def joined_single_letters(spark, sf):
 @query(f"""WITH {readings_sql()}, p AS (SELECT doc_id, reading, place, key AS a, lead(key) OVER (PARTITION BY doc_id, reading ORDER BY place) AS b FROM tok)
 SELECT doc_id, reading, place, a || b AS key, entry_order FROM p JOIN {keys_sql('words')} ON key = a || b WHERE length(a) >= 2 AND length(b) >= 2 AND regexp_matches(a || b, '^[a-z]+$')""")
 def split_halves(spark, sf):
-    return relational.split_hits(_tokens(spark, sf), "doc_id", _tables(spark)).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.split_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
 
 
-@query(f"""SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(string_split(norm, ' ')) AS chunk FROM ({NORM}))
-WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}].*[^\\p{{L}}\\p{{Nd}}\\p{{M}}\\p{{Cf}}].*[\\p{{L}}\\p{{Nd}}]') AND regexp_matches(chunk, '\\p{{L}}')
-AND length(regexp_replace(regexp_replace(chunk, '^[^\\p{{L}}\\p{{Nd}}]+', ''), '[^\\p{{L}}\\p{{Nd}}]+$', '')) >= 3 GROUP BY doc_id""")
+DISGUISED = f"translate(text, '{DISGUISE[0]}', '{DISGUISE[1]}')"
+
+
+@query(f"WITH {hits_sql(DISGUISED)} SELECT doc_id, count(*) AS chunks FROM pattern GROUP BY doc_id")
 def broken_chunks(spark, sf):
-    return relational.chunk_patterns(_reads(spark, sf), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    reads = relational.readings(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False).filter("reading = 0")
+    return reads.select("doc_id", F.explode_outer(relational.patterns("text")).alias("p")).filter("p IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+@query(f"WITH {hits_sql(DISGUISED)} SELECT doc_id, CAST(place AS BIGINT) AS place, key, evasion, entry_order FROM hits WHERE stage = 5")
 def chunk_hits(spark, sf):
-    return relational.chunk_hits(_reads(spark, sf), "doc_id", lexicon(), _tables(spark)).select("doc_id", "place", "key", "evasion", "entry_order")
+    """Chunks of disguised documents, with symbols taken out and standing for letters."""
+    reads = relational.readings(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False)
+    return relational.chunk_hits(reads, "doc_id", lexicon()).select("doc_id", "place", "key", "evasion", "entry_order")
 
 
-DIRECT = f"WITH {readings_sql()}, hit AS (SELECT doc_id, reading, place, key, entry_order FROM tok JOIN {keys_sql('surfaces')} USING (key))"
+DIRECT = f"WITH {hits_sql()}"
 
 
-@query(DIRECT + " SELECT d.doc_id, lang FROM documents d SEMI JOIN hit ON d.doc_id = hit.doc_id")
+@query(DIRECT + " SELECT d.doc_id, lang FROM documents d SEMI JOIN hits ON d.doc_id = hits.doc_id")
 def flagged_documents(spark, sf):
-    found = relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark))
-    return _read(spark, sf, "documents").join(found, "doc_id", "left_semi").select("doc_id", "lang")
+    return guard().flagged(_read(spark, sf, "documents"), "doc_id", "text").select("doc_id", "lang")
 
 
-@query(DIRECT + " SELECT d.doc_id, lang FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id")
+@query(DIRECT + " SELECT d.doc_id, lang FROM documents d ANTI JOIN hits ON d.doc_id = hits.doc_id")
 def clean_documents(spark, sf):
-    found = relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark))
-    return _read(spark, sf, "documents").join(found, "doc_id", "left_anti").select("doc_id", "lang")
+    return guard().clean(_read(spark, sf, "documents"), "doc_id", "text").select("doc_id", "lang")
 
 
-@query(DIRECT + f"""SELECT lang, category, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, entry_order FROM hit WHERE reading = 0) h JOIN {keys_sql('entries')} USING (entry_order)
+@query(DIRECT + f"""SELECT lang, category, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, entry_order FROM hits) h JOIN {keys_sql('entries')} USING (entry_order)
 JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, category)""")
 def hits_by_category(spark, sf):
-    found = relational.word_hits(_tokens(spark, sf).filter("reading = 0"), "doc_id", _tables(spark))
-    named = found.join(F.broadcast(_tables(spark)["entries"].select("entry_order", "category")), "entry_order")
+    """Hits of every stage."""
+    named = guard().hit_table(_read(spark, sf, "documents"), "doc_id", "text").join(F.broadcast(_entries(spark).select("entry_order", "category")), "entry_order")
+    return named.join(_read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").rollup("lang", "category").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query(DIRECT + f"""SELECT lang, category, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, entry_order FROM tok JOIN word_keys USING (key) WHERE reading = 0) h JOIN {keys_sql('entries')} USING (entry_order)
+JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, category)""")
+def words_by_category(spark, sf):
+    """Undisguised whole words; only the normalized reading is made."""
+    words = _normal(spark, sf).select("doc_id", F.lit(0).alias("reading"), F.lit(0).alias("evasion"), N.tokenize("norm").alias("tokens"))
+    named = relational.word_hits(words, "doc_id", lexicon()).join(F.broadcast(_entries(spark).select("entry_order", "category")), "entry_order")
     return named.join(_read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").rollup("lang", "category").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(DIRECT + """SELECT toxic, flagged, count(*) AS documents FROM (SELECT l.doc_id, toxic, l.doc_id IN (SELECT doc_id FROM hit) AS flagged FROM labels l) GROUP BY toxic, flagged""")
+@query(DIRECT + """SELECT toxic, flagged, count(*) AS documents FROM (SELECT l.doc_id, toxic, l.doc_id IN (SELECT doc_id FROM hits) AS flagged FROM labels l) GROUP BY toxic, flagged""")
 def hits_against_labels(spark, sf):
-    found = relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark)).select("doc_id").distinct().withColumn("hit", F.lit(True))
+    found = guard().hit_table(_read(spark, sf, "documents"), "doc_id", "text").select("doc_id").distinct().withColumn("hit", F.lit(True))
     joined = _read(spark, sf, "labels").join(found, "doc_id", "left").select("toxic", F.coalesce("hit", F.lit(False)).alias("flagged"))
     return joined.groupBy("toxic", "flagged").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(DIRECT + " SELECT doc_id, m.reading AS reading, m.place AS place, m.key AS key, m.entry_order AS entry_order FROM (SELECT doc_id, min(struct_pack(reading := reading, place := place, entry_order := entry_order, key := key)) AS m FROM hit GROUP BY doc_id)")
+@query(f"""WITH {hits_sql(DISGUISED)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN stage = 5 THEN 4 ELSE reading END, stage,
+CASE WHEN stage IN (1, 3) THEN rank ELSE place END, CASE WHEN stage IN (1, 3) THEN place ELSE rank END, entry_order) AS k FROM hits)
+SELECT doc_id, reading, evasion, stage, CAST(place AS BIGINT) AS place, key, entry_order FROM r WHERE k = 1""")
 def first_hit(spark, sf):
-    """By readings, then places; words alone."""
-    return relational.first_hits(relational.word_hits(_tokens(spark, sf), "doc_id", _tables(spark)), "doc_id").select("doc_id", "reading", "place", "key", "entry_order")
+    """Of every stage, the hit that the least evasion undone brings, over disguised documents."""
+    return relational.first_hits(guard().hit_table(_disguised(spark, sf), "doc_id", "text"), "doc_id")
 
 
 REGIONS = """WITH c AS (SELECT l_orderkey AS id, CAST(l_partkey % 97 AS BIGINT) AS s, CAST(l_partkey % 97 + 1 + l_quantity AS BIGINT) AS e, CAST(l_linenumber AS INTEGER) AS o, CAST(l_suppkey % 8 AS INTEGER) AS v FROM lineitem),
@@ -333,18 +394,29 @@ def merge_regions(spark, sf):
     return relational.merge_regions(candidates, "id")
 
 
-@query()
+@query(f"WITH {hits_sql(DISGUISED)} SELECT doc_id, stage, count(*) AS hits, CAST(sum(place) AS BIGINT) AS places, CAST(sum(evasion) AS BIGINT) AS evasions, CAST(sum(entry_order) AS BIGINT) AS entries FROM hits GROUP BY doc_id, stage")
 def all_hits(spark, sf):
-    """Every stage of the relational path."""
-    found = relational.hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon())
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("stage").alias("last_stage"))
+    """Every stage of the relational path, over disguised documents."""
+    found = relational.hits(_disguised(spark, sf), "doc_id", "text", lexicon())
+    return found.groupBy("doc_id", "stage").agg(F.count(F.lit(1)).alias("hits"), F.sum("place").alias("places"), F.sum("evasion").alias("evasions"), F.sum("entry_order").alias("entries"))
 
 
-@query()
+@query(DIRECT + " SELECT doc_id, doc_id IN (SELECT doc_id FROM hits) AS contains FROM documents")
 def contains_documents(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", guard().contains("text").alias("contains"))
 
 
+@query(f"""WITH {hits_sql(DISGUISED)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN stage = 5 THEN 4 ELSE reading END, stage,
+CASE WHEN stage IN (1, 3) THEN rank ELSE place END, CASE WHEN stage IN (1, 3) THEN place ELSE rank END, entry_order) AS k FROM hits)
+SELECT doc_id, entry, category, evasion FROM r JOIN {keys_sql('entries')} USING (entry_order) WHERE k = 1""")
+def first_match_entries(spark, sf):
+    """What first_match reports, by the row path, over disguised documents; evasion as bits."""
+    m = F.col("m")
+    bits = F.aggregate("m.evasion", F.lit(0), lambda a, e: a + F.when(e == "repeatedLetters", 1).when(e == "lookalikeCharacters", 2).otherwise(4))
+    found = _disguised(spark, sf).select("doc_id", guard().first_match("text").alias("m")).filter("m IS NOT NULL")
+    return found.select("doc_id", m["text"].alias("entry"), m["category"].alias("category"), bits.alias("evasion"))
+
+
 @query()
 def first_matches(spark, sf):
     found = _read(spark, sf, "documents").select("doc_id", guard().first_match("text").alias("m")).filter("m IS NOT NULL")
@@ -369,25 +441,38 @@ def censored_conversations(spark, sf):
 
 @query()
 def byte_matches(spark, sf):
-    turns = _read(spark, sf, "conversations").withColumn("data", F.concat(F.unhex(F.lit("FF20")), F.col("text").cast("binary")))
-    return guard().match_table(turns, "text", "conv_id", "turn").select("conv_id", "turn", "text", "index", "length")
-
+    """Turns as bytes, with bytes in front that are no UTF-8."""
+    turns = _read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.unhex(F.lit("FF20")), F.col("text").cast("binary")).alias("data"))
+    found = turns.select("conv_id", "turn", F.explode(guard().matches_bytes("data")).alias("m"))
+    return found.select("conv_id", "turn", "m.text", "m.index", "m.length")
 
-EVENTS_MINUTE = "date_trunc('hour', ts)"
 
-
-@query()
+@query("SELECT conv_id, turn, count(*) AS messages FROM conversations GROUP BY conv_id, turn")
 def message_stream(spark, sf):
-    """A bounded run of the streaming path: turns as a stream, censored, into a table in memory."""
+    """A bounded run of the streaming path: turns as a stream, censored, into a table of files."""
     from textwarden.streaming.reports import censored
 
-    table = f"message_stream_{abs(hash(sf)) % 10**8}"
+    base = f"{work_folder(spark)}/textwarden-stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(_read(spark, sf, "conversations").schema).option("pathGlobFilter", "*conversations*.parquet").parquet(sf)
-    running = censored(source, guard(), "text").writeStream.format("memory").queryName(table).trigger(availableNow=True).start()
+    running = censored(source, guard(), "text").writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/rows")
     running.awaitTermination()
-    return spark.table(table).select("conv_id", "turn", "censored")
+    return spark.read.parquet(f"{base}/rows").filter("censored IS NOT NULL").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode a temporary one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='textwarden-')}"
+
+
+for _name, (_run, _sql) in RECORDED.items():
+    QUERIES[_name], ORACLES[_name] = _run, _sql
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Flagged documents per language and category."""
-    return hits_by_category(spark, sf)
+    return words_by_category(spark, sf)
