@@ -37,17 +37,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage, runs costly stages once where several consumers follow, and survives
-    lost executors. The tables go when the driver's Python ends.
+    lost executors. Shuffle files go as soon as the table is written; the tables go by ``discard`` or
+    when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textwarden-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _written.append((spark, path))
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and nothing reads any more."""
+    for table in tables:
+        _written.remove((table.sparkSession, table._written_to))
+        _delete(table.sparkSession, table._written_to)
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A folder's name in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/textwarden-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -65,15 +93,6 @@ def _delete_all() -> None:
             return
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def split_words(data: bytes) -> list[bytes]:
-    """Words of WORD_PATTERN in UTF-8 text: bytes.split() knows exactly these six blanks."""
-    return data.split()
-
-
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about so many bytes of text, a longer text alone."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

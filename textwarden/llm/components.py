@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import materialize
+from textwarden.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = materialize(edges, "links")
     mark = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "stars")
+        discard(before)
         new = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == mark:
             break

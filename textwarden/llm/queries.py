@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm import ann, bpe, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, token_files, url_filter
-from textwarden.llm.common import shared_dir
+from textwarden.llm.common import temporary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +42,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/textwarden-token-files-{uuid.uuid4().hex}"
+    folder = temporary(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
