@@ -49,7 +49,28 @@ def test_mix_meets_targets(spark):
         assert abs(taken[s] - target[s]) <= 0.02 * size[s] + 5
     sampled = mixing.resample(df)
     assert sampled.columns == df.columns
-    assert sampled.count() == sum(r.taken // r.size for r in got if r.size) + sum(1 for _ in range(0))+ sum(x.copies for x in got if not x.size)
+    assert sampled.count() == sum(r.copies for r in got)
+
+
+def test_longer_documents_are_likelier(spark):
+    rows = [(i, "w " * (10 if i % 2 else 160), "a") for i in range(4000)] + [(9000 + i, "w " * 40, "b") for i in range(4000)] + [(20_000, "w " * 50_000, "a")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), share=0.5).collect()
+    taken = {r.doc_id: r.copies for r in got}
+    target = next(r.target for r in got if r.source == "a")
+    assert abs(sum(r.taken for r in got if r.source == "a") - target) <= 10
+    # by the square root of 160 / 10: four times as likely; a plain shuffle would take both alike
+    short, long = (sum(taken[i] for i in range(k, 4000, 2)) for k in (1, 0))
+    assert 3 < long / short < 5
+    assert taken[20_000] == 1  # its probability would pass 1, so it is certain
+
+
+def test_one_very_long_document_leaves_no_gap(spark):
+    rows = [(i, "w " * (50 + i), "a") for i in range(300)] + [(1000, "w " * 100_000, "a"), (1001, "w " * 7000, "b")] + [(2000 + i, "w " * 20, "b") for i in range(300)]
+    for seed in ("mix", "other", "third"):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), share=0.3, seed=seed).collect()
+        for source in ("a", "b"):
+            target, size = next((r.target, r.source_size) for r in got if r.source == source)
+            assert abs(sum(r.taken for r in got if r.source == source) - target) <= 0.02 * size
 
 
 def test_empty(spark):

@@ -5,8 +5,8 @@ import corpus_pipeline
 import duckdb
 import public_tokenizers
 import pytest
-from test_quality import brute_measures
-from test_simhash import brute_components, brute_fingerprint
+from test_quality import brute_kept
+from test_similar import least_ids
 from tokenizers import Tokenizer
 
 from textwarden.llm import mixing, queries, quality_classifier, url_filter
@@ -25,21 +25,16 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     start = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     ruled, good, unique, mixed, encoded = tables
 
-    def base_fails(text):
-        n, _, _, _, repeated = brute_measures(text)
-        return n < 10 or 100 * repeated > 20 * n
-
-    hosts = Counter(r.source for r in start if base_fails(r.text))
-    assert not any(n > Counter(r.source for r in start)[s] / 2 for s, n in hosts.items())
-    assert sorted(r.doc_id for r in ruled) == sorted(r.doc_id for r in start if not base_fails(r.text))
+    stays = brute_kept([(r.text, r.source) for r in start])
+    assert sorted(r.doc_id for r in ruled) == sorted(r.doc_id for r, s in zip(start, stays) if s)
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     frame = spark.read.parquet(str(tmp_path / "0"))
     model = quality_classifier.train(frame, labels)
     assert {r.doc_id for r in good} == {r.doc_id for r in quality_classifier.score(frame, model).filter("predicted = 1").collect()}
 
-    prints = [brute_fingerprint(r.text) for r in good]
-    assert sorted(r.doc_id for r in unique) == sorted(set(brute_components([r.doc_id for r in good], prints)))
+    # the stage takes five words and a similarity of 0.8, not the bits of op7_simhash
+    assert sorted(r.doc_id for r in unique) == least_ids([r.doc_id for r in good], [r.text for r in good])
 
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(str(tmp_path / "2"))).collect()}
     assert Counter(r.doc_id for r in mixed) == Counter({i: c for i, c in copies.items() if c})

@@ -21,6 +21,45 @@ def test_measures(text):
     assert quality_rules.measures(text) == brute_measures(text)
 
 
+def brute_kept(rows):
+    """Whether each of (text, source) stays: base rules, shrunk host rates, habits."""
+    failed, base = [], []
+    for text, _ in rows:
+        n, _, symbols, same, repeated = brute_measures(text)
+        failed.append((n < 10, 100 * repeated > 20 * n, 10 * symbols > n, same > 2))
+        base.append(failed[-1][0] or failed[-1][1])
+    hosts = {}
+    for (_, source), f in zip(rows, failed):
+        if source is not None:
+            hosts.setdefault(source, []).append(f)
+    shrunk = {s: [] for s in hosts}
+    for k in range(4):
+        rate = {s: np.mean([f[k] for f in fs]) for s, fs in hosts.items()}
+        m = np.mean(list(rate.values())) if rate else 0
+        v = np.var(list(rate.values())) - m * (1 - m) * np.mean([1 / len(fs) for fs in hosts.values()]) if rate else 0
+        strength = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+        for s, fs in hosts.items():
+            shrunk[s].append((sum(f[k] for f in fs) + m * strength) / (len(fs) + strength))
+    gone = lambda s, f: s is not None and (max(shrunk[s]) > 0.5 or any(r > 0.05 and x for r, x in zip(shrunk[s], f)))
+    return [not b and not gone(s, f) for (_, s), f, b in zip(rows, failed, base)]
+
+
+def test_host_verdicts_decide_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    rows = docs.collect()
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [got[r.doc_id].kept for r in rows] == brute_kept([(r.text, r.source) for r in rows])
+    assert sum(not r.kept and not r.base_failed for r in got.values()) > 10
+
+
+def test_habits(spark):
+    clean, signs = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i} #" for i in range(30))
+    rows = [(i, signs if i < 30 else clean, "signs") for i in range(200)] + [(1000 + i, signs if i < 1 else clean, f"plain{i % 4}") for i in range(800)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1000]  # one failure of a host without the habit
+    assert not any(got[i] for i in range(30)) and all(got[i] for i in range(30, 200))
+
+
 def test_hosts(spark):
     good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
     rows = [(i, good if i % 10 else bad, "fine") for i in range(200)] + [(1000 + i, bad if i % 10 else good, "awful") for i in range(200)]

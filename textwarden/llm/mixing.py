@@ -2,15 +2,19 @@
 
 Sources in code-point order, null last, get weights from a repeating list. They share a multiple of
 all words; a source's target stops at ``most`` times its size, and the excess is shared again by
-weight until none is above. A source's expected copies of each document are target / size: whole
-copies are certain, and the rest is drawn by Pareto order sampling. Documents are ranked by random
-odds over inclusion odds, u / (1 - u) / (p / (1 - p)), and the first are taken until the words are
-spent. What is then missing goes to the one further document whose size comes nearest, if that helps.
+weight until none is above. Whole copies of a source, target / size of them, are certain. The rest is
+drawn without replacement, with inclusion probabilities in proportion to the square root of a document's
+words, so that a longer document is likelier, but its words are not as much likelier. They are scaled to
+the words that are left; documents whose probability would pass 1 are certain, and the others are scaled
+again. Of the others, ranks are random odds over inclusion odds, u / (1 - u) / (p / (1 - p)), and the
+first are taken until the words are spent. What the first document too long for the rest leaves goes, in a
+second pass, to the next that fit it, and then to one document whose size comes nearest, if that helps:
+this last one is picked by size, outside the design, one document a source at most.
 
 The random numbers are MD5 values of seed, id and text, so reruns agree. A source's ranks are never
 sorted as a whole: sums by rank bins find the bin where its words are spent, and only that bin's
-rows are put in order. The outcome is one row a source, the place where its draw ends, and each
-document decides by itself whether it comes before that.
+rows are put in order. The outcome is one row a source, the places where its draws end, and each
+document decides by itself whether it comes before those.
 
 Defined results: a null text has size 0 and is taken with 0 words; a null source is a source, the
 last one; rows that repeat id and text are drawn together or not at all;
@@ -32,6 +36,8 @@ SHARE = 1.5
 MOST = 2
 BINS = 65_536
 SEED = "mix"
+#: Draws one after the other, each of documents that fit what the one before left.
+PASSES = 2
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -73,54 +79,88 @@ def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def pull() -> Column:
+    """What a document's inclusion probability is in proportion to, as a whole number."""
+    return F.floor(F.sqrt(F.greatest("size", F.lit(1)).cast("double")) * 100)
+
+
 def ranked(base: DataFrame, plan: DataFrame) -> DataFrame:
-    """base with its source's row of the plan (goal_source and all), rank and bin of the rank."""
-    odds = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
-    joined = base.join(plan, same("source", "goal_source")).withColumn("rank", odds)
-    return joined.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")).withColumn("place", F.struct("rank", "doc_id", "size"))
+    """base with its source's row of the plan (goal_source and all), certain, rank and bin of the rank.
 
+    Documents that are certain, and those of sources with nothing to draw, have no rank.
+    """
+    p = F.col("scale") * pull()
+    joined = base.join(plan, same("source", "goal_source")).withColumn("p", p).withColumn("certain", F.coalesce(F.col("p") >= 1, F.lit(False)))
+    odds = F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
+    return joined.withColumn("rank", odds).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")).withColumn("place", F.struct("rank", "doc_id", "size"))
 
-def drawn() -> Column:
-    """Whether a ranked row is among the first that the words pay for."""
-    inside = (F.col("bin") == F.col("last_bin")) & F.coalesce(F.col("place") <= F.col("last_place"), F.lit(False))
-    return F.coalesce(F.col("last_bin").isNull() | (F.col("bin") < F.col("last_bin")) | inside, F.lit(False)) & F.col("rank").isNotNull()
 
+def drawn(passes: int = PASSES) -> Column:
+    """Whether a ranked row is among those that the words of a pass pay for."""
+    found = F.lit(False)
+    for k in range(passes):
+        inside = (F.col("bin") == F.col(f"last_bin{k}")) & F.coalesce(F.col("place") <= F.col(f"last_place{k}"), F.lit(False))
+        before = F.col(f"last_bin{k}").isNull() | (F.col("bin") < F.col(f"last_bin{k}")) | inside
+        found = found | (F.coalesce(before, F.lit(False)) & (F.col("size") <= F.col(f"rest{k}")))
+    return found & F.col("rank").isNotNull()
 
-def plan_sources(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row a source: its size and target, certain copies, and where its draw ends.
 
-    base has source, doc_id, size and u and should be a written table, as it is read three times.
-    """
-    goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(wanted).cast("long")
-    goals = goals.select(F.col("source").alias("goal_source"), "source_size", "target", whole.alias("whole"), (wanted - whole).alias("p"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
-    goals = materialize(goals, "mix-targets")
+def scaled(base: DataFrame, goals: DataFrame) -> DataFrame:
+    """goals with scale, the factor from pull to probability, and rest0, the words left to draw after certain documents.
 
-    rows = ranked(base, goals).filter("rank IS NOT NULL")
-    by_bin = rows.groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
+    Sizes in descending order, one row a size: while the factor for a size and all below it gives 1 or
+    more, documents of this size are certain.
+    """
+    sizes = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).join(goals.filter("rest > 0"), same("source", "goal_source"))
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    words, weight = F.col("size") * F.col("n"), pull() * F.col("size") * F.col("n")
+    left = F.col("rest") - F.coalesce(F.sum(words).over(above), F.lit(0))
+    open_ = F.sum(weight).over(Window.partitionBy("source")) - F.coalesce(F.sum(weight).over(above), F.lit(0))
+    rows = sizes.select("source", "size", left.alias("left"), F.when(open_ > 0, left / open_).alias("factor"))
+    first = rows.filter(F.col("factor") * pull() < 1).groupBy("source").agg(F.max_by(F.struct("factor", "left"), "size").alias("f"))
+    first = first.select(F.col("source").alias("scale_source"), F.col("f.factor").alias("scale"), F.col("f.left").alias("rest0"))
+    return goals.join(first, same("goal_source", "scale_source"), "left").drop("scale_source", "rest")
+
+
+def spent(rows: DataFrame, plan: DataFrame, k: int) -> DataFrame:
+    """The plan with where pass k ends (last_bin, last_place) and the words that the next one has (rest)."""
+    rest = f"rest{k}"
+    by_bin = rows.groupBy("source", "bin", rest).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows a source at most
     running = by_bin.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    ends = running.filter("before + words > rest").groupBy("source").agg(F.min(F.struct("bin", "before")).alias("at"))
-    ends = materialize(ends.select(F.col("source").alias("end_source"), F.col("at.bin").alias("last_bin"), F.col("at.before").alias("before")), "mix-bins")
-
-    inner = rows.join(ends, same("source", "end_source") & (F.col("bin") == F.col("last_bin")))
+    ends = running.filter(F.col("before") + F.col("words") > F.col(rest)).groupBy("source").agg(F.min(F.struct("bin", "before")).alias("at"))
+    ends = materialize(ends.select(F.col("source").alias("end_source"), F.col("at.bin").alias(f"last_bin{k}"), F.col("at.before").alias("before")), "mix-bins")
+    inner = rows.join(ends, same("source", "end_source") & (F.col("bin") == F.col(f"last_bin{k}")))
     paid = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size"))  # alike rows together
-    cut = inner.select("source", "place", "size", paid.alias("paid"), "rest").filter("paid <= rest").groupBy("source").agg(F.max("place").alias("last_place"), F.sum("size").alias("in_bin"))
-    plan = goals.join(ends, same("goal_source", "end_source"), "left").join(cut, same("goal_source", "source"), "left")
-    gap = F.when(F.col("last_bin").isNotNull(), F.col("rest") - F.col("before") - F.coalesce("in_bin", F.lit(0))).otherwise(F.lit(0.0))
-    plan = materialize(plan.select("goal_source", "source_size", "target", "whole", "p", "last_bin", "last_place", gap.alias("gap")), "mix-cuts")
+    cut = inner.select("source", "place", "size", paid.alias("paid"), rest).filter(F.col("paid") <= F.col(rest)).groupBy("source").agg(F.max("place").alias(f"last_place{k}"), F.sum("size").alias("in_bin"))
+    plan = plan.join(ends, same("goal_source", "end_source"), "left").join(cut, same("goal_source", "source"), "left")
+    gap = F.when(F.col(f"last_bin{k}").isNotNull(), F.col(rest) - F.col("before") - F.coalesce("in_bin", F.lit(0))).otherwise(F.lit(0.0))
+    return materialize(plan.withColumn(f"rest{k + 1}", gap).drop("end_source", "before", "source", "in_bin"), "mix-cuts")
+
+
+def plan_sources(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row a source: its size and target, certain copies, the scale of its odds, and where its draws end.
 
-    off = F.abs(F.col("size") - F.col("gap"))
-    fits = ranked(base, plan).filter(~drawn() & (F.col("rank").isNotNull()) & (off < F.col("gap")))
-    fill = fits.groupBy("source").agg(F.min(F.struct(off.alias("off"), "place")).alias("best"))
-    fill = fill.select("source", F.col("best.place").alias("fill_place"))
-    return materialize(plan.join(fill, same("goal_source", "source"), "left").drop("source", "gap"), "mix-plan")
+    base has source, doc_id, size and u and should be a written table, as it is read several times.
+    """
+    goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(wanted).cast("long")
+    goals = materialize(goals.select(F.col("source").alias("goal_source"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest")), "mix-targets")
+    plan = materialize(scaled(base, goals), "mix-scales")
+    for k in range(PASSES):
+        plan = spent(ranked(base, plan).filter(F.col("rank").isNotNull() & ~drawn(k) & (F.col("size") <= F.col(f"rest{k}"))), plan, k)
+    gap = F.col(f"rest{PASSES}")
+    off = F.abs(F.col("size") - gap)
+    fits = ranked(base, plan).filter(F.col("rank").isNotNull() & ~drawn() & (off < gap))
+    fill = fits.groupBy("source").agg(F.min(F.struct(off.alias("off"), "place")).alias("best")).select("source", F.col("best.place").alias("fill_place"))
+    return materialize(plan.join(fill, same("goal_source", "source"), "left").drop("source"), "mix-plan")
 
 
 def copied(base: DataFrame, plan: DataFrame) -> DataFrame:
     """base with its source's plan and the number of copies the mix takes of each row."""
-    once = drawn() | F.coalesce(F.col("place") == F.col("fill_place"), F.lit(False))
+    once = F.col("certain") | drawn() | F.coalesce(F.col("place") == F.col("fill_place"), F.lit(False))
     return ranked(base, plan).withColumn("copies", F.col("whole") + F.when(once, 1).otherwise(0))
 
 
@@ -144,7 +184,7 @@ def resample(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: floa
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   (CAST('0x' || substr(md5(concat_ws(chr(31), 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
@@ -153,15 +193,25 @@ l AS (SELECT *, source_size * 2 / weight AS stop, (sum(source_size) OVER () * 1.
   WINDOW b AS (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, stop) AS level FROM l WHERE source_size * 2 >= level * weight),
 t AS (SELECT source, source_size, coalesce(least(source_size * 2::DOUBLE, f.level * weight), source_size * 2::DOUBLE) AS target FROM l, f),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS wanted FROM t),
-r AS (SELECT d.*, source_size, target, CAST(floor(wanted) AS BIGINT) AS whole, wanted - floor(wanted) AS p, target - floor(wanted) * source_size AS rest
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM r),
-c AS (SELECT *, rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size) <= rest AS drawn FROM k),
-q AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (drawn), 0) AS gap FROM c WHERE rank IS NOT NULL GROUP BY source),
-b AS (SELECT c.source, min(struct_pack(off := abs(size - gap), rank := rank, doc_id := doc_id, size := size)) AS best
-  FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source WHERE rank IS NOT NULL AND NOT drawn AND abs(size - gap) < gap GROUP BY c.source)
+g AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole FROM t),
+e AS (SELECT *, target - whole * source_size AS rest FROM g),
+z AS (SELECT d.source, size, count(*) AS n, CAST(floor(sqrt(greatest(size, 1)::DOUBLE) * 100) AS BIGINT) AS pull, any_value(rest) AS rest
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source WHERE rest > 0 GROUP BY d.source, size),
+y AS (SELECT *, rest - coalesce(sum(size * n) OVER a, 0) AS remains, sum(pull * size * n) OVER (PARTITION BY source) - coalesce(sum(pull * size * n) OVER a, 0) AS open FROM z
+  WINDOW a AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT source, arg_max(remains / open, size) AS scale, arg_max(remains, size) AS rest0 FROM y WHERE open > 0 AND remains / open * pull < 1 GROUP BY source),
+r AS (SELECT d.*, source_size, target, whole, rest0, scale * floor(sqrt(greatest(size, 1)::DOUBLE) * 100) AS p
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+k AS (SELECT *, coalesce(p >= 1, false) AS certain, CASE WHEN p > 0 AND p < 1 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM r),
+c0 AS (SELECT *, rank IS NOT NULL AND size <= rest0 AS may FROM k),
+c1 AS (SELECT *, may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size) <= rest0 AS first FROM c0),
+q1 AS (SELECT source, CASE WHEN bool_and(first) THEN 0 ELSE any_value(rest0) - coalesce(sum(size) FILTER (first), 0) END AS rest1 FROM c1 WHERE may GROUP BY source),
+c2 AS (SELECT c1.*, rest1, rank IS NOT NULL AND NOT first AND size <= rest1 AS again FROM c1 LEFT JOIN q1 ON c1.source IS NOT DISTINCT FROM q1.source),
+c3 AS (SELECT *, coalesce(again AND sum(CASE WHEN again THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size) <= rest1, false) AS second FROM c2),
+q2 AS (SELECT source, CASE WHEN bool_and(second) THEN 0 ELSE any_value(rest1) - coalesce(sum(size) FILTER (second), 0) END AS gap FROM c3 WHERE again GROUP BY source),
+b AS (SELECT c3.source, min(struct_pack(off := abs(size - gap), rank := rank, doc_id := doc_id, size := size)) AS best
+  FROM c3 JOIN q2 ON c3.source IS NOT DISTINCT FROM q2.source WHERE rank IS NOT NULL AND NOT first AND NOT second AND abs(size - gap) < gap GROUP BY c3.source)
 SELECT doc_id, size, source_size, target,
-  (whole + CASE WHEN drawn OR coalesce(rank = best.rank AND doc_id IS NOT DISTINCT FROM best.doc_id AND size = best.size, false) THEN 1 ELSE 0 END) * size AS taken
-FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source
+  (whole + CASE WHEN certain OR first OR second OR coalesce(rank = best.rank AND doc_id IS NOT DISTINCT FROM best.doc_id AND size = best.size, false) THEN 1 ELSE 0 END) * size AS taken
+FROM c3 LEFT JOIN b ON c3.source IS NOT DISTINCT FROM b.source
 """

@@ -2,18 +2,22 @@
 
 Each document is measured once. Its rule failures are summed by host (here: its source). A host's
 failure rate of a rule is shrunk towards all hosts' mean by a beta prior whose two parameters come
-from the moments of the hosts' rates, so a host of few documents needs more than bad luck to be
-rejected. A host whose shrunk rate of any rule passes the limit is rejected with all its documents.
+from the moments of the hosts' rates, so a host of few documents needs more than bad luck to be judged.
+Verdicts are joined back: a host whose shrunk rate of any rule is above HOST_LIMIT goes with all its
+documents, and where a rule's shrunk rate is above HABIT, failing it is the host's habit and its
+documents that fail this rule go. Elsewhere a single failure is taken as an exception.
 
 Defined results: a null text has no words and fails the base rules; a document without a host is
 judged by the base rules alone; repeated rows count as often as they occur; an empty table gives an
-empty table. Other columns pass through ``judge`` by name; ``measure`` reads only the text.
+empty table. Other columns pass through ``judge`` by name, but for the names of the measures, which
+keep cannot hold; ``measure`` reads only the text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +31,10 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: A host goes if its shrunk rate of failures of one rule is above this.
 HOST_LIMIT = 0.5
-#: Rejected hosts are counted, and broadcast up to so many; beyond that the join shuffles.
-BROADCAST_HOSTS = 20_000
+#: Above this shrunk rate a document goes for failing the rule.
+HABIT = 0.05
+#: Hosts with a verdict against them are counted, and broadcast up to so many; beyond that the join shuffles.
+BROADCAST_HOSTS = 100_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -89,36 +95,54 @@ def host_rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """host, n_docs, a shrunk rate for each rule (rate_...), host_kept.
+def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT, habit: float = HABIT) -> DataFrame:
+    """host, n_docs, a shrunk rate for each rule (rate_...), host_kept, and habit_... for each rule.
 
-    The prior of a rule: with the hosts' mean rate m and the variance v of their rates, the beta
-    parameters are m * s and (1 - m) * s for s = m * (1 - m) / v - 1, held to 1..1,000,000. Where
-    the rates do not vary, the prior is as strong as it gets.
+    The prior of a rule: with m the mean of the hosts' rates and v their variance less what chance alone
+    gives hosts of their sizes, m * (1 - m) * mean(1 / n_docs), the beta parameters are m * s and
+    (1 - m) * s for s = m * (1 - m) / v - 1, held to 1..1,000,000. Where v is not above zero, the prior
+    is as strong as it gets.
     """
     rules = host_rules()
     tallies = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(c.cast("long")).alias(f"bad_{r}") for r, c in rules.items()])
+    tallies = materialize(tallies, "host-tallies")
     rates = [F.col(f"bad_{r}") / F.col("n_docs") for r in rules]
-    prior = tallies.agg(*[f(x).alias(f"{n}_{r}") for r, x in zip(rules, rates) for n, f in (("m", F.avg), ("v", F.var_pop))])
-    strength = {r: F.when(F.col(f"v_{r}") > 0, F.least(F.greatest(F.col(f"m_{r}") * (1 - F.col(f"m_{r}")) / F.col(f"v_{r}") - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6)) for r in rules}
-    prior = prior.select(F.lit(1).alias("__one"), *[(F.col(f"m_{r}") * strength[r]).alias(f"a_{r}") for r in rules], *[strength[r].alias(f"s_{r}") for r in rules])
+    moments = tallies.agg(F.avg(1 / F.col("n_docs")).alias("__chance"), *[f(x).alias(f"{n}_{r}") for r, x in zip(rules, rates) for n, f in (("m", F.avg), ("v", F.var_pop))])
+    both = {r: F.col(f"m_{r}") * (1 - F.col(f"m_{r}")) for r in rules}
+    between = {r: F.col(f"v_{r}") - both[r] * F.col("__chance") for r in rules}
+    strength = {r: F.when(between[r] > 0, F.least(F.greatest(both[r] / between[r] - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6)) for r in rules}
+    prior = moments.select(F.lit(1).alias("__one"), *[(F.col(f"m_{r}") * strength[r]).alias(f"a_{r}") for r in rules], *[strength[r].alias(f"s_{r}") for r in rules])
     shrunk = tallies.withColumn("__one", F.lit(1)).join(F.broadcast(prior), "__one")  # a single row
     shrunk = shrunk.select(host, "n_docs", *[((F.col(f"bad_{r}") + F.col(f"a_{r}")) / (F.col("n_docs") + F.col(f"s_{r}"))).alias(f"rate_{r}") for r in rules])
-    return shrunk.withColumn("host_kept", F.greatest(*[F.col(f"rate_{r}") for r in rules]) <= limit)
+    return shrunk.select("*", (F.greatest(*[F.col(f"rate_{r}") for r in rules]) <= limit).alias("host_kept"), *[(F.col(f"rate_{r}") > habit).alias(f"habit_{r}") for r in rules])
 
 
-def judge(df: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] = ("doc_id",), limit: float = HOST_LIMIT) -> DataFrame:
+def against(measured: DataFrame, host: str, limit: float, habit: float) -> DataFrame:
+    """__host, __whole and __habit_... of hosts with a verdict against them: a written table, marked for broadcast if small."""
+    verdicts = host_verdicts(measured, host, limit, habit)
+    named = verdicts.select(F.col(host).alias("__host"), (~F.col("host_kept")).alias("__whole"), *[F.col(f"habit_{r}").alias(f"__habit_{r}") for r in host_rules()])
+    some = materialize(named.filter(reduce(Column.__or__, [F.col(c) for c in named.columns[1:]])), "host-verdicts")
+    return F.broadcast(some) if some.count() <= BROADCAST_HOSTS else some
+
+
+def condemned() -> Column:
+    """Whether a measured row, joined with its host's verdict if there is one, goes for it."""
+    habits = [F.col(f"__habit_{r}") & c for r, c in host_rules().items()]
+    return F.coalesce(reduce(Column.__or__, [F.col("__whole"), *habits]), F.lit(False))
+
+
+def judge(df: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] = ("doc_id",), limit: float = HOST_LIMIT, habit: float = HABIT) -> DataFrame:
     """The columns of keep, the measures, base_failed, and kept: the verdict of rules and host.
 
     Verdicts are joined back to the measured rows, which are narrow. A large host's rows need not
-    meet in one task: only the small verdict side is replicated where the planner splits them.
+    meet in one task: the verdicts are broadcast up to BROADCAST_HOSTS, and beyond that only their
+    small side is replicated where the planner splits the rows.
     """
     columns = list(dict.fromkeys([*keep, host]))
     measured = materialize(measure(df, text, columns), "quality-rules")
-    verdicts = host_verdicts(measured, host, limit).select(F.col(host).alias("__host"), "host_kept")
-    joined = measured.join(verdicts, F.col(host) == F.col("__host"), "left")
+    joined = measured.join(against(measured, host, limit, habit), F.col(host) == F.col("__host"), "left")
     failed = base_failed()
-    return joined.select(*keep, *MEASURES, failed.alias("base_failed"), (~failed & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+    return joined.select(*keep, *MEASURES, failed.alias("base_failed"), (~failed & ~condemned()).alias("kept"))
 
 
 def measured(text: Column) -> Column:
@@ -134,16 +158,14 @@ def measured(text: Column) -> Column:
     return run(text.cast("string"))
 
 
-def filter_documents(df: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+def filter_documents(df: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT, habit: float = HABIT) -> DataFrame:
     """The rows of df, all columns unchanged, that ``judge`` would keep.
 
     Measures twice rather than moving whole texts through a shuffle or a second table.
     """
-    rejected = materialize(host_verdicts(measure(df, text, [host]), host, limit).filter(~F.col("host_kept")).select(F.col(host).alias("__host")), "rejected-hosts")
-    if rejected.count() <= BROADCAST_HOSTS:
-        rejected = F.broadcast(rejected)
+    verdicts = against(measure(df, text, [host]), host, limit, habit)
     packed = df.select(F.struct("*").alias("__row"), measured(F.col(text)).alias("__m"), F.col(host).alias("__host_of"))
-    kept = packed.select("__row", "__host_of", "__m.*").filter(~base_failed()).join(rejected, F.col("__host_of") == F.col("__host"), "left_anti")
+    kept = packed.select("__row", "__host_of", "__m.*").filter(~base_failed()).join(verdicts, F.col("__host_of") == F.col("__host"), "left").filter(~condemned())
     return kept.select("__row.*")
 
 
@@ -163,10 +185,10 @@ m AS (SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
 f AS (SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2, 10 * n_symbols > n_words AS r3, n_dup_lines > 2 AS r4 FROM m),
 h AS (SELECT source, count(*) AS n, unnest([1, 2, 3, 4]) AS rule,
   unnest([count(*) FILTER (r1), count(*) FILTER (r2), count(*) FILTER (r3), count(*) FILTER (r4)]) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT rule, avg(bad / n) AS m, var_pop(bad / n) AS v FROM h GROUP BY rule),
+p AS (SELECT rule, avg(bad / n) AS m, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS v FROM h GROUP BY rule),
 s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM p),
-k AS (SELECT source, max((bad + m * s) / (n + s)) <= 0.5 AS host_kept FROM h JOIN s USING (rule) GROUP BY source)
+k AS (SELECT source, max((bad + m * s) / (n + s)) > 0.5 AS whole, list((bad + m * s) / (n + s) > 0.05 ORDER BY rule) AS habit FROM h JOIN s USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
-  NOT (r1 OR r2) AND coalesce(host_kept, true) AS kept
+  NOT (r1 OR r2) AND NOT coalesce(whole OR (habit[1] AND r1) OR (habit[2] AND r2) OR (habit[3] AND r3) OR (habit[4] AND r4), false) AS kept
 FROM f LEFT JOIN k USING (source)
 """
