@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import materialize
+from textwarden.llm.common import materialize, tidied
 
-SHARD_ROWS = 4096
+#: A shard holds so many vectors, or fewer if they are long: as many as a task builds a graph of in some
+#: minutes. Every query visits every shard, so few large shards cost less than many small ones.
+SHARD_ROWS = 65_536
+SHARD_BYTES = 64_000_000
 LINKS = 16
 BUILD_BEAM = 64
-SEARCH_BEAM = 96
+SEARCH_BEAM = 420
 #: Points that are inserted, or queries that are searched, in step.
 STEP = 256
 #: Candidates that one round of a search opens.
@@ -202,7 +205,8 @@ def entries(df: DataFrame, vec_id: str, vector: str, k: int) -> DataFrame:
 def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The written index: a row for each shard and vector length (INDEX_SCHEMA)."""
     distinct = materialize(entries(df, vec_id, vector, k), "ann-entries")
-    shards = max(1, math.ceil(distinct.count() / shard_rows))
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("components")).first()
+    shards = max(1, math.ceil(size.n / shard_rows), math.ceil(4 * (size.components or 0) / SHARD_BYTES))
     dealt = distinct.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dim"), "vector", "ids")
 
     def graph(table: pa.Table) -> pa.Table:
@@ -251,13 +255,12 @@ def search(indexed: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
                     ids, sizes = row["ids"], row["layer_sizes"]
                     own = np.array(row["vectors"], np.float32).reshape(len(ids), -1)
                     graph = Graph(lengthened(own), sizes, [np.array(x, np.int64).reshape(s, -1) for x, s in zip(row["neighbours"], sizes)])
-                    own = own.astype(np.float64)
                     part = part.slice(1)
                 for at in range(0, part.num_rows, STEP):
                     some = part.slice(at, STEP)
                     yield from _answers(graph, ids, own, some, k, beam)
 
-    found = placed.mapInArrow(visit, "query_id long, score double, ids array<long>")
+    found = placed.mapInArrow(tidied(visit), "query_id long, score double, ids array<long>")
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -269,7 +272,7 @@ def _answers(graph: Graph, ids: list[list[int]], own: np.ndarray, some: pa.Recor
     names = np.array(some.column("query_id").to_pylist())
     longer = np.hstack([queries, np.zeros((len(queries), 1), np.float32)])
     near, _ = graph.search(longer, beam)
-    scores = np.einsum("qd,qnd->qn", queries.astype(np.float64), own[near])
+    scores = np.einsum("qd,qnd->qn", queries.astype(np.float64), own[near].astype(np.float64))
     scores[near < 0] = -np.inf
     # where scores tie at the end of the list the smaller ids must stay, so equal ones all do
     last = -np.sort(-scores, axis=1)[:, min(k, scores.shape[1] - 1)]

@@ -13,7 +13,6 @@ text and the ones kept are not read, so clashing names cannot matter.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import json
 import unicodedata
@@ -26,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import slices, tidied
 
 #: Pieces, and pre-tokens, whose ids a worker remembers.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 120_000
 MEMO_WORD_CHARS = 64
 #: Bytes of text that a worker encodes at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 5_000_000
 
 #: Fixed values of the vocabulary's file format: its pre-token pattern and byte alphabet.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -341,16 +340,14 @@ def _mapped(df: DataFrame, vocabulary: str, text: str, keep: Sequence[str], made
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
-        gc.disable()  # millions of small strings and no cycles: collections find nothing
         for batch in it:
             texts = batch.column(batch.num_columns - 1)
             for a, b in slices(texts, SLICE_BYTES):
                 kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, *make(own, texts.slice(a, b - a))], names=[*keep, *made])
         own.pieces.forget()  # workers live on; what they hold would add to later stages
-        pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

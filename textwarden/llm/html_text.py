@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import slices, tidied
 
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -383,4 +383,4 @@ def extract(df: DataFrame, page: str = "html", keep: Sequence[str] = ("page_id",
                 texts = [render(p) for p in batch.columns[-1].slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)

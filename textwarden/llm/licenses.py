@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import slices, tidied
 
 #: Sentences between two sentences of a rule that the scan reads over.
 GAP = 3
@@ -198,4 +198,4 @@ def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -
                 found += map(find, batch.columns[-1].slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, FOUND)], names=[*keep, "found"])
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)

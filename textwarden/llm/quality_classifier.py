@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import slices, tidied
 from textwarden.llm.quality_rules import repeated_words
 
 STATISTICS = ("words", "word_length", "symbols", "capitals", "digits", "bangs", "bars", "stops", "distinct", "repeats", "same_lines", "line_words", "marks", "high_bytes")
@@ -81,7 +81,7 @@ def measure(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
             columns = [pa.array(c, pa.float64()) for c in zip(*found)] or [pa.array([], pa.float64())] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *names])
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)
 
 
 #: A condition is (statistic, above, threshold); a rule is the conjunction of its conditions.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import materialize, slices
+from textwarden.llm.common import materialize, slices, tidied
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -78,7 +78,7 @@ def measure(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
             columns = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *MEASURES])
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)
 
 
 def base_failed() -> Column:

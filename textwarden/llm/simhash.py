@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import materialize, slices
+from textwarden.llm.common import materialize, slices, tidied
 from textwarden.llm.components import components
 
 BITS = 64
@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
             signed = pa.array(np.array(found, np.uint64).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed], names=[*keep, "fp"])
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(tidied(batches), schema)
 
 
 def correlated_parts(sample: np.ndarray, parts: int = PARTS) -> list[list[int]]:

@@ -13,7 +13,6 @@ length are kept whole, a document larger than an image making its own; other col
 
 from __future__ import annotations
 
-import gc
 import json
 import struct
 import zlib
@@ -29,7 +28,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from textwarden.llm import bpe
-from textwarden.llm.common import slices
+from textwarden.llm.common import slices, tidied
 
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 65_536
@@ -152,7 +151,6 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int = 1, plane: s
 
     def images(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq, start = _encoder(shared.value), TaskContext.get().partitionId(), 0, 0
-        gc.disable()
         docs: list[int | None] = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
@@ -184,9 +182,8 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int = 1, plane: s
         if docs:
             yield image()
         own.pieces.forget()  # workers live on; what they hold would add to later stages
-        pa.default_memory_pool().release_unused()
 
-    ordered.mapInArrow(images, SCHEMA).write.parquet(folder)
+    ordered.mapInArrow(tidied(images), SCHEMA).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +204,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 columns = [pa.array(docs, pa.int64()), pa.array(at[:-1] + start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_le"])
 
-    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_le binary")
+    return placed.mapInArrow(tidied(documents), "doc_id long, start long, n_tokens long, ids_le binary")
 
 
 def export(spark: SparkSession, folder: str, local: str) -> None:
