@@ -2,10 +2,14 @@
 
 All visible text is emitted. Paragraph-like blocks are set apart by a blank line, other blocks by a
 line break; list items get a dash or their number and are indented by depth; table cells are
-aligned in columns; preformatted text keeps its white space; everything else folds it.
+aligned in columns, with as many lines a row as its cells need, and leave room where a cell above spans
+rows; preformatted text keeps its white space; everything else folds it. Elements that are not displayed
+go with all they hold; what is only invisible may hold visible elements.
 
 Nothing recurses, so depth is unbounded; each page is handled whole, at a cost that grows with its
-length. Defined results: a null or empty page gives an empty text; unclosed and stray tags, unknown
+length. Fixed limits of the layout, none of which loses text: lines of cells longer than WIDEST are not
+waited for by the next column, a cell spans MOST_SPAN columns or rows at most, and a table within DEEPEST
+others is written on one line. Defined results: a null or empty page gives an empty text; unclosed and stray tags, unknown
 elements and broken attributes never fail; an empty table of pages gives an empty one; repeated rows
 give repeated results; columns other than the page and the ones kept are not read. Head ends where
 text or a tag stands that may not be in it; text in svg and math is shown, but for what only describes
@@ -31,7 +35,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANK = re.compile(r"[ \t\n\f\r]+")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -65,16 +70,22 @@ CLOSES = {
 #: End tags close no element outside the nearest of these.
 BARRIERS = frozenset(("table", "td", "th", "caption"))
 MOST_SPAN = 1000
-#: Columns wider than this are not padded.
+#: Lines wider than this do not widen their column.
 WIDEST = 60
+#: Tables around a table that is laid out.
+DEEPEST = 24
+#: Inputs that show their value, and what the others of them show without one.
+CAPTIONS = {"submit": "Submit", "reset": "Reset", "button": "", "text": "", "search": "", "email": "", "tel": "", "url": "", "number": "", "date": "", "time": ""}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "unseen", "spaced")
+    __slots__ = ("tag", "attributes", "children", "unseen", "spaced", "gone", "shown", "lines")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
-        self.unseen = self.spaced = False
+        self.unseen = self.spaced = self.gone = False
+        self.shown = True
+        self.lines: list[str] = []
 
     def attribute(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -82,6 +93,22 @@ class Node:
                 return html.unescape(next((v for v in m.groups()[1:] if v is not None), ""))
         return None
 
+    def number(self, name: str, default: int | None) -> int | None:
+        value = (self.attribute(name) or "").strip() if name in self.attributes.lower() else ""
+        return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else default
+
+    def visible(self, inherited: bool) -> bool:
+        found = VISIBILITY.findall(self.attribute("style") or "") if "visibility" in self.attributes.lower() else ()
+        return found[-1].lower() == "visible" if found else inherited
+
+    def alone(self) -> str:
+        """What an element without content shows."""
+        if self.tag == "img":
+            return self.attribute("alt") or ""
+        kind = (self.attribute("type") or "text").lower()
+        value = self.attribute("value")
+        return (CAPTIONS[kind] if value is None else value) if kind in CAPTIONS else ""
+
     def hidden(self) -> bool:
         if self.unseen or self.tag in UNSEEN:
             return True
@@ -147,7 +174,12 @@ def parse(page: str) -> Node:
                     cut(k)
                     break
                 if stack[k].tag in BARRIERS and end not in ("table", "tr", "tbody", "thead", "tfoot"):
+                    if end == "p":
+                        stack[-1].children.append(Node("p"))
                     break
+            else:
+                if end == "p":  # one that ends nothing is an empty paragraph
+                    stack[-1].children.append(Node("p"))
             continue
         if not tag:
             continue
@@ -235,13 +267,13 @@ class Writer:
             self.line = []
         self.gap, self.space = max(self.gap, gap), False
 
-    def result(self) -> str:
+    def result(self) -> list[str]:
         self.block(1)
-        return "\n".join(self.lines).strip("\n")
+        return self.lines
 
 
 def flat(node: Node) -> str:
-    """The visible text of a cell on one line."""
+    """The visible text of an element on one line."""
     out: list[str] = []
     todo: list[Node | str] = [node]
     while todo:
@@ -249,65 +281,87 @@ def flat(node: Node) -> str:
         if isinstance(x, str):
             out.append(x)
             continue
-        if x.hidden():
+        if x.gone:
             continue
         if x.spaced or x.tag in BLOCK or x.tag in ("br", "td", "th"):
             out.append(" ")
             todo.append(" ")
-        if x.tag == "img":
-            out.append(x.attribute("alt") or "")
-        todo += reversed(x.children)
+        if x.tag in ("img", "input") and x.shown:
+            out.append(x.alone())
+        todo += [c for c in reversed(x.children) if x.shown or not isinstance(c, str)]
     return " ".join(w for w in BLANK.split("".join(out)) if w)
 
 
-def table_lines(table: Node) -> tuple[list[str], list[str]]:
-    """Captions, and the rows with cells aligned in columns. Text beside cells goes to the captions."""
-    beside: list[str] = []
-    rows: list[list[str]] = []
-    todo: list[Node | str] = list(reversed(table.children))
+def table_rows(table: Node) -> tuple[list[list[Node | str]], list[list[tuple[int, Node | str]]]]:
+    """What stands beside the rows, and each row's cells with the number of their column."""
+    beside: list[list[Node | str]] = []
+    rows: list[list[tuple[int, Node | str]]] = []
+    taken: dict[int, int] = {}  # rows that a cell above still takes of a column
+    todo: list[Node | str | None] = list(reversed(table.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
-            if x.strip(" \t\n\f\r"):
-                beside.append(" ".join(w for w in BLANK.split(x) if w))
-        elif x.hidden():
+        if x is None:
+            taken = {}  # spans end with their group
+        elif isinstance(x, str):
+            if table.shown and x.strip(" \t\n\f\r"):
+                beside.append([x])
+        elif x.gone:
             continue
         elif x.tag == "tr":
-            cells: list[str] = []
+            cells: list[tuple[int, Node | str]] = []
+            left = {k: n - 1 for k, n in taken.items() if n > 1}
+            at = 0
             for c in x.children:
-                if isinstance(c, Node) and c.tag in ("td", "th"):
-                    if c.hidden():
-                        continue
-                    span = c.attribute("colspan") or "1"
-                    cells += [flat(c), *[""] * (min(int(span), MOST_SPAN) - 1 if span.isascii() and span.isdigit() else 0)]
-                else:
-                    other = c if isinstance(c, str) else flat(c)
-                    if other.strip(" \t\n\f\r"):
-                        cells.append(" ".join(w for w in BLANK.split(other) if w))
+                cell = isinstance(c, Node) and c.tag in ("td", "th")
+                if (c.gone if isinstance(c, Node) else not (x.shown and c.strip(" \t\n\f\r"))):
+                    continue
+                while at in taken:
+                    at += 1
+                cells.append((at, c))
+                wide, high = (min(max(c.number("colspan", 1), 1), MOST_SPAN), c.number("rowspan", 1)) if cell else (1, 1)
+                high = MOST_SPAN if high == 0 else min(max(high, 1), MOST_SPAN)
+                if high > 1:
+                    left |= dict.fromkeys(range(at, at + wide), high - 1)
+                at += wide
+            taken = left
             rows.append(cells)
         elif x.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(x.children)
-        elif (other := flat(x)):
-            beside.append(other)
-    width: list[int] = []
-    for cells in rows:
-        for k, c in enumerate(cells):
-            if k == len(width):
-                width.append(0)
-            if len(c) <= WIDEST:
-                width[k] = max(width[k], len(c))
-    lines = ["  ".join(c.ljust(width[k]) for k, c in enumerate(cells)).rstrip(" ") for cells in rows]
-    return beside, [x for x in lines if x]
-
-
-def render(page: str | None) -> str:
-    """The visible text of a page, laid out."""
-    if not page:
-        return ""
+            todo += [None, *reversed(x.children)]
+        else:
+            beside.append([x])
+    return beside, rows
+
+
+def table_lines(table: Node) -> list[str]:
+    """Captions and text beside cells, then the rows with cells aligned in columns."""
+    beside, rows = table_rows(table)
+    out = [line for x in beside for line in layout(x, table.shown)]
+    placed = [[(k, [line for line in layout([c], True) if line]) for k, c in cells] for cells in rows]
+    width: dict[int, int] = {}
+    for cells in placed:
+        for k, lines in cells:
+            width[k] = max([width.get(k, 0), *[len(line) for line in lines if len(line) <= WIDEST]])
+    columns = max([0, *[k + 1 for k in width]])
+    starts = [0] * columns
+    for k in range(1, columns):
+        starts[k] = starts[k - 1] + width.get(k - 1, 0) + 2
+    for cells in placed:
+        for n in range(max([0, *[len(lines) for _, lines in cells]])):
+            line = ""
+            for k, lines in cells:
+                if n < len(lines):
+                    line = (line.ljust(starts[k]) if len(line) + 2 <= starts[k] or not line else line + "  ") + lines[n]
+            out.append(line)
+    return out
+
+
+def layout(nodes: list[Node | str], shown: bool = True) -> list[str]:
+    """The lines of some siblings; tables within have theirs already."""
     out = Writer()
     lists: list[list] = []
+    indents: list[int] = []
     pre = 0
-    todo: list[tuple[Node | str, bool]] = [(parse(page), True)]
+    todo: list[tuple[Node | str, bool]] = [(x, True) for x in reversed(nodes) if shown or not isinstance(x, str)]
     while todo:
         x, entering = todo.pop()
         if isinstance(x, str):
@@ -316,7 +370,7 @@ def render(page: str | None) -> str:
         tag = x.tag
         gap = 2 if tag in APART and not (tag in ("ul", "ol") and len(lists) > (0 if entering else 1)) else 1 if tag in BLOCK else 0
         if entering:
-            if x.hidden():
+            if x.gone:
                 continue
             if tag == "br":
                 out.newline()
@@ -325,39 +379,37 @@ def render(page: str | None) -> str:
                 out.block(gap)
             if x.spaced:
                 out.space = True
-            if tag == "img":
-                out.text(x.attribute("alt") or "")
+            if tag in ("img", "input") and x.shown:
+                out.text(x.alone())
             elif tag == "table":
-                beside, lines = table_lines(x)
-                for line in [*beside, *lines]:
+                for line in x.lines:
                     out.block(1)
                     out._put(line)
                 out.block(2)
                 continue
             elif tag in ("ul", "ol", "menu", "dir"):
-                start = x.attribute("start") or "1" if tag == "ol" else ""
-                lists.append([tag, int(start) if start.isascii() and start.isdigit() and len(start) < 10 else 1])
+                back = tag == "ol" and x.attribute("reversed") is not None
+                first = sum(isinstance(c, Node) and c.tag == "li" and not c.gone for c in x.children) if back else 1
+                lists.append([tag, x.number("start", first) if tag == "ol" else 1, -1 if back else 1])
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                out.bullet = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
+                kind = lists[-1] if lists else ["ul", 1, 1]
+                kind[1] = x.number("value", kind[1])
+                out.bullet = (f"{kind[1]}. " if kind[0] == "ol" else "- ") if x.shown else ""
+                kind[1] += kind[2]
+                indents.append(len(out.bullet))
                 out.indent += " " * len(out.bullet)
-                todo.append((x, False))
-                todo += [(c, True) for c in reversed(x.children)]
-                x.attributes = str(len(out.bullet))
-                continue
             elif tag == "dd":
                 out.indent += "  "
             elif tag == "pre":
                 pre += 1
             if tag not in VOID:
                 todo.append((x, False))
-                todo += [(c, True) for c in reversed(x.children)]
+                todo += [(c, True) for c in reversed(x.children) if x.shown or not isinstance(c, str)]
             elif gap:
                 out.block(gap)
         else:
             if tag == "li":
-                out.indent = out.indent[: len(out.indent) - int(x.attributes)]
+                out.indent = out.indent[: len(out.indent) - indents.pop()]
                 out.bullet = ""
             elif tag == "dd":
                 out.indent = out.indent[:-2]
@@ -372,6 +424,31 @@ def render(page: str | None) -> str:
     return out.result()
 
 
+def render(page: str | None) -> str:
+    """The visible text of a page, laid out."""
+    if not page:
+        return ""
+    root = parse(page)
+    tables: list[tuple[Node, int]] = []
+    todo: list[tuple[Node, bool, int]] = [(root, True, 0)]
+    while todo:
+        x, shown, depth = todo.pop()
+        x.gone = x.hidden()
+        if x.gone:
+            continue
+        x.shown = x.visible(shown) if x.attributes else shown
+        if x.tag == "table":
+            tables.append((x, depth))
+            depth += 1
+        todo += [(c, x.shown, depth) for c in x.children if not isinstance(c, str)]
+    for table, depth in reversed(tables):  # inner ones first
+        if depth < DEEPEST:
+            table.lines = table_lines(table)
+        elif depth == DEEPEST:
+            table.lines = [line] if (line := flat(table)) else []
+    return "\n".join(layout([root])).strip("\n")
+
+
 def extract(df: DataFrame, page: str = "html", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """The columns of keep and text of each row."""
     source = df.select(*keep, F.col(page).cast("string").alias("__page"))
