@@ -62,7 +62,7 @@ def key_rows(lexicon: Lexicon) -> list[tuple[str, str, str, int, int]]:
         rows += [("surface", key, key, order, 1 + k) for rank, form in surfaces(words[-1]) if rank < 0 or rank % 2 == 0 for key in [" ".join([*words[:-1], form])]]
     rows += [("whole", key, key, order, 0) for key, order in lexicon.words.items()] + [("whole", key, key, order, 1) for key, order in lexicon.anywhere.items()]
     rows += [("anywhere", key, key, order, k) for k, (key, order) in enumerate(lexicon.anywhere.items())]
-    return rows + [("mask", str(k), key, order, 1 + k) for k, (key, _, order) in enumerate(lexicon.maskable)]
+    return rows + [("mask", f"{'w' if whole else 'a'}{key}", key, order, 1 + k) for k, (key, whole, order) in enumerate(lexicon.maskable)]
 
 
 def key_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
@@ -106,7 +106,7 @@ def anywhere_found(text: str, lexicon: Lexicon, stage: int = 1, bits: int = 0) -
     """Every occurrence of the anywhere keys, overlapping ones too, by code point."""
     if not lexicon.anywhere:
         return F.array().cast(FOUND)
-    keys = F.filter(F.array(*[F.lit(k) for k in lexicon.anywhere]), lambda k: F.contains(text, k))
+    keys = F.filter(F.lit(list(lexicon.anywhere)), lambda k: F.contains(text, k))
 
     def places(k: Column) -> Column:
         # cut before every occurrence; each cut's place is the length of what stands before it
@@ -174,21 +174,25 @@ def chunks_found(text: str, lexicon: Lexicon) -> Column:
         bare = F.transform(broken, lambda c: _found(5, SPLIT_BIT, "surface", c["place"], F.translate(c["pattern"], MASK, "")))
         parts.append(F.filter(bare, lambda f: F.length(F.regexp_replace(f["key"], BEYOND, "__")) >= 3))
     if lexicon.options.fold_lookalike_characters and lexicon.maskable:
-        numbered = [(str(k), key, whole) for k, (key, whole, _) in enumerate(lexicon.maskable)]
-        literal = lambda rows: F.array(*[F.struct(F.lit(k).alias("k"), F.lit(key).alias("key")) for k, key in rows])
-        lengths = sorted({len(key) for _, key, whole in numbered if whole})
+        wholes = [key for key, whole, _ in lexicon.maskable if whole]
+        inner = [key for key, whole, _ in lexicon.maskable if not whole]
         masks = lambda p: F.length(p) - F.length(F.translate(p, MASK, ""))
-        fit = lambda p, key: (masks(p) > 0) & (masks(p) * 2 <= F.length(key)) & F.like(key, F.translate(p, MASK, "_"))
-        emit = lambda c, keys, test: F.transform(F.filter(keys, test), lambda m: _found(5, LOOKALIKE_BIT, "mask", c["place"], m["k"]))
-        if lengths:
-            by_length = F.create_map(*[x for n in lengths for x in (F.lit(n), literal([(k, key) for k, key, whole in numbered if whole and len(key) == n]))])
-            none = F.array().cast("array<struct<k:string,key:string>>")
-            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, F.coalesce(F.try_element_at(by_length, F.length(c["pattern"])), none), lambda m: fit(c["pattern"], m["key"])))))
-        inner = [(k, key) for k, key, whole in numbered if not whole]
+
+        def fit(p: Column, key: Column) -> Column:
+            # a pattern that is no literal is compiled each time, so first and last characters go before it
+            head, tail = F.substring(p, 1, 1), F.substring(p, -1, 1)
+            ends = ((head == MASK) | F.startswith(key, head)) & ((tail == MASK) | F.endswith(key, tail))
+            return ends & (masks(p) > 0) & (masks(p) * 2 <= F.length(key)) & F.like(key, F.translate(p, MASK, "_"))
+
+        emit = lambda c, keys, kind, test: F.transform(F.filter(keys, test), lambda key: _found(5, LOOKALIKE_BIT, "mask", c["place"], F.concat(F.lit(kind), key)))
+        if wholes:
+            by_length = F.create_map(*[x for n in sorted({len(key) for key in wholes}) for x in (F.lit(n), F.lit([key for key in wholes if len(key) == n]))])
+            sized = lambda p: F.coalesce(F.when(masks(p) * 2 <= F.length(p), F.try_element_at(by_length, F.length(p))), F.array().cast("array<string>"))
+            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, sized(c["pattern"]), "w", lambda key: fit(c["pattern"], key)))))
         if inner:
             window = lambda p, i, key: F.substring(p, i, F.length(key))
             within = lambda p, key: (F.length(p) >= F.length(key)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(p) - F.length(key) + 1, F.lit(1))), lambda i: fit(window(p, i, key), key))
-            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, literal(inner), lambda m: within(c["pattern"], m["key"])))))
+            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, F.lit(inner), "a", lambda key: within(c["pattern"], key)))))
     return F.concat(*parts) if parts else F.array().cast(FOUND)
 
 

@@ -1,8 +1,8 @@
 """The registered queries of the guard, and their equivalents in DuckDB's SQL.
 
 All texts of the driver's tables are in NFKC, so column queries leave NFKC out; ``nfkc_documents``
-and the row-path queries take it in. The list is the starter list and a few phrases, stems and halves
-that occur in the tables.
+and the row-path queries take it in. The list is the starter list, a few phrases, stems and halves
+that occur in the tables, and made-up entries up to the size of a full list.
 """
 
 from __future__ import annotations
@@ -40,14 +40,24 @@ erin
 """
 
 
+#: Entries of the list that the queries use, as many as a full list has by default.
+ENTRIES = 1025
+
+
+@cache
+def words() -> list[BannedWord]:
+    named = wordlist.parse(LIST_TEXT)
+    return named + wordlist.generated(ENTRIES - len(named))
+
+
 @cache
 def lexicon() -> Lexicon:
-    return compile_lexicon(wordlist.parse(LIST_TEXT))
+    return compile_lexicon(words())
 
 
 @cache
 def guard() -> Guard:
-    return Guard(wordlist.parse(LIST_TEXT))
+    return Guard(words())
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:

@@ -108,6 +108,26 @@ def selected(words: Iterable[BannedWord], categories: Iterable[str]) -> list[Ban
     return [w for w in words if w.category in chosen]
 
 
+def generated(count: int) -> list[BannedWord]:
+    """Made-up entries, by a rule: for tests and measures with lists of any size.
+
+    Of ten, two are Persian words, one a phrase and one an entry that matches anywhere.
+    """
+    out = []
+    for k in range(count):
+        n = len(SYLLABLES)
+        syllables = [SYLLABLES[i % n] for i in (k, k // n + 7 * k, k // (n * n) + 11 * k + 5)]
+        word = "".join(syllables)
+        if k % 10 in (1, 6):
+            word = word.translate(str.maketrans(dict(zip("bdgkmrstvzaiu", "بدگکمرستوزایو"))))
+        out.append(BannedWord(f"{word} {syllables[0]}{syllables[2]}x" if k % 10 == 3 else word, "anywhere" if k % 10 == 8 else "wholeWord", CATEGORIES[1 + k % (len(CATEGORIES) - 1)]))
+    return out
+
+
+#: Three of them make a word of ``generated``.
+SYLLABLES = [c + v for v in "aiu" for c in "bdgkmrstvz"]
+
+
 class Lists:
     """The bundled lists: those of a folder, or the starter list."""
 
