@@ -1,3 +1,5 @@
+import json
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -42,3 +44,10 @@ def test_ids_as_arrays(spark):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "x" * 70_000)]
     got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).orderBy("doc_id").collect()
     assert [(r.doc_id, " ".join(map(str, r.ids)), r.n_tokens) for r in got] == [(i, expected(t or "")[0], expected(t or "")[2]) for i, t in rows]
+
+
+def test_other_vocabularies_are_refused():
+    spec = json.loads(bpe.read_vocabulary(PATH))
+    for change in ({"pre_tokenizer": None}, {"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(spec | change))

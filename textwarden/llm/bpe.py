@@ -35,6 +35,14 @@ SLICE_BYTES = 5_000_000
 
 #: Fixed values of the vocabulary's file format: its pre-token pattern and byte alphabet.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the file says about texts, all of which is done here, and options of its model that are not.
+READ_AS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "decoder": None,
+}
+NOT_READ = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
 #: The same pattern where all is ASCII and in lower case.
 ASCII_PRE_TOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+)"
 MARK = "\u0100"
@@ -62,8 +70,8 @@ class Vocabulary:
         spec = json.loads(data)
         model = spec["model"]
         end = model["end_of_word_suffix"]
-        if model["type"] != "BPE" or not end or spec["decoder"] is not None:
-            raise ValueError("needs a BPE vocabulary with word ends and no decoder")
+        if model["type"] != "BPE" or not end or {k: spec.get(k) for k in READ_AS} != READ_AS or any(model.get(k) for k in NOT_READ) or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("needs a byte-level BPE vocabulary with word ends that cuts texts as this module does")
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*ids.values(), *self.special.values()]) + 1)
