@@ -78,6 +78,26 @@ def test_hosts(spark):
     assert quality_rules.judge(empty).count() == 0
 
 
+def brute_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not text:
+        return [0.0] * 14
+    n, size = max(1, len(words)), max(1, sum(len(w.encode()) for w in words))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    many = max(1, len(lines))
+    of = lambda pattern: len(re.findall(pattern, text))
+    high = sum(b > 127 for b in text.encode())
+    return [len(words), size / n, of(r"[#*$%&|<>]") / n, of("[A-Z]") / size, of("[0-9]") / size, of("!") / n, of(r"\|") / n, of(r"\.[ \n]") / n, len(set(words)) / n,
+            brute_measures(text)[4] / n, (len(lines) - len(set(lines))) / many, len(words) / many, of(r"[#*$%&<>@^~=+_{}\[\]\\/]") / size, high / size]
+
+
+def test_statistics_against_plain_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "Ab1! | é{x}\n" * 40_000)], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_classifier.measure(docs).collect():
+        assert np.allclose([r[f"stat_{s}"] for s in quality_classifier.STATISTICS], brute_statistics(text[r.doc_id])), r.doc_id
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.train(docs, labels)

@@ -194,20 +194,3 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", d
 
 def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of df, all columns unchanged, with one document of each component of near-duplicates.
-
-    The smallest doc_id stays; of rows that repeat a doc_id one stays. Rows without a doc_id cannot
-    be told apart and all stay.
-    """
-    found = materialize(near_duplicates(df, text, doc_id), "near-duplicates")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated"))
-    kept = df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col(doc_id) == F.col("__repeated"), "left_anti")
-    again = kept.join(repeated, F.col(doc_id) == F.col("__repeated"), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(again)
