@@ -44,6 +44,10 @@ erin
 ENTRIES = 1025
 
 
+#: A list that finds types of events.
+EVENT_WORDS = [BannedWord("click", category="mild"), BannedWord("purchase", category="insult")]
+
+
 @cache
 def words() -> list[BannedWord]:
     named = wordlist.parse(LIST_TEXT)
@@ -268,17 +272,23 @@ def wordlist_parse(spark, sf):
     return wordlist.parse_table(content).select("line", "text", "mode", "category")
 
 
-@query(f"SELECT category, count(*) AS entries, count(*) FILTER (mode = 'anywhere') AS anywhere FROM {keys_sql('entries')} GROUP BY category")
+@query(f"""SELECT category, count(*) AS entries, count(*) FILTER (mode = 'anywhere') AS anywhere, array_to_string((list(entry ORDER BY entry_order))[:5], '|') AS first, array_to_string((list(entry ORDER BY entry_order))[-5:], '|') AS last,
+count(DISTINCT struct_pack(e := entry, m := mode)) = count(*) AS "distinct", true AS filled FROM {keys_sql('entries')} GROUP BY category""")
 def category_profile(spark, sf):
-    entries = wordlist.as_table(spark, lexicon().entries)
-    return entries.groupBy("category").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("mode") == "anywhere").alias("anywhere"))
+    found = wordlist.profile(wordlist.as_table(spark, lexicon().entries))
+    return found.withColumns({"first": F.array_join("first", "|"), "last": F.array_join("last", "|")})
 
 
-@query(f"SELECT entry FROM {keys_sql('entries')} WHERE category IN ('insult', 'mild') EXCEPT SELECT entry FROM {keys_sql('entries')} WHERE category = 'mild'")
+@query(f"SELECT DISTINCT entry FROM {keys_sql('entries')} WHERE category IN ('insult', 'mild') AND entry NOT IN (SELECT entry FROM {keys_sql('entries')} WHERE category = 'mild')")
 def bundled_select(spark, sf):
-    entries = wordlist.as_table(spark, lexicon().entries).withColumnRenamed("text", "entry")
-    chosen = entries.filter(F.col("category").isin("insult", "mild")).select("entry")
-    return chosen.exceptAll(entries.filter("category = 'mild'").select("entry")).distinct()
+    """Selection by category, and the difference of two selections."""
+    chosen, mild = (wordlist.as_table(spark, wordlist.selected(words(), c)).select(F.col("text").alias("entry")) for c in (("insult", "mild"), ("mild",)))
+    return chosen.exceptAll(mild).distinct()
+
+
+@query(f"SELECT 'own' AS list, entry_order, entry AS text, mode, category FROM {keys_sql('entries')} UNION ALL SELECT 'events', {ENTRIES} + k, t, 'wholeWord', c FROM (VALUES (0, 'click', 'mild'), (1, 'purchase', 'insult')) AS v(k, t, c)")
+def concatenated_lists(spark, sf):
+    return wordlist.concatenated(wordlist.as_table(spark, words(), "own"), wordlist.as_table(spark, EVENT_WORDS, "events"))
 
 
 @query(f"SELECT key, CAST(entry_order AS INTEGER) AS entry_order FROM {keys_sql('surfaces')}")
@@ -469,6 +479,22 @@ def message_stream(spark, sf):
     return spark.read.parquet(f"{base}/rows").filter("censored IS NOT NULL").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("messages"))
 
 
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end,
+CASE event_type WHEN 'click' THEN 'mild' ELSE 'insult' END AS category, count(*) AS matches FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL""")
+def stream_match_counts(spark, sf):
+    """A bounded run of windowed counts: events as a stream, what a small list finds in their types."""
+    from textwarden.streaming.reports import match_counts
+
+    base = f"{work_folder(spark)}/textwarden-stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(_read(spark, sf, "events").schema).option("pathGlobFilter", "*events*.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = match_counts(source, Guard(EVENT_WORDS), "event_type", "ts", "6 hours", "1 hour")
+    # each run of the counts replaces the table, so the last is the whole
+    replace = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows")
+    running = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{base}/rows").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; in local mode a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,28 @@ def as_table(spark: SparkSession, words: Iterable[BannedWord], name: str = "list
     return spark.createDataFrame([(name, k, w.text, w.mode, w.category) for k, w in enumerate(words)], LIST_SCHEMA)
 
 
+def concatenated(*lists: DataFrame) -> DataFrame:
+    """Lists (LIST_SCHEMA) one after the other as one: entry_order counts on, list names stay."""
+    tagged = [df.withColumn("__at", F.lit(k)) for k, df in enumerate(lists)]
+    rows = reduce(DataFrame.unionByName, tagged)
+    # a row a list: where its entries start
+    sizes = rows.groupBy("__at").agg((F.max("entry_order") + 1).alias("n"))
+    before = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__at", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("start"))
+    return rows.join(F.broadcast(starts), "__at").select("list", (F.col("entry_order") + F.col("start")).alias("entry_order"), "text", "mode", "category")
+
+
+def profile(entries: DataFrame, most: int = 5) -> DataFrame:
+    """Of each category: entries, how many match anywhere, its first and last entries in list order, and flags.
+
+    distinct says that no text and mode is listed twice, filled that no entry is blank. Word lists are
+    small, so a category's entries may meet in one task.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("entry_order", "text")))
+    texts = entries.groupBy("category").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("mode") == "anywhere").alias("anywhere"), F.transform(listed, lambda x: x["text"]).alias("l"), (F.count_distinct("text", "mode") == F.count(F.lit(1))).alias("distinct"), (F.count_if(F.btrim("text", F.lit(C.WHITE_SPACE)) == "") == 0).alias("filled"))
+    return texts.select("category", "entries", "anywhere", F.slice("l", 1, most).alias("first"), F.slice("l", F.greatest(F.size("l") - most + 1, F.lit(1)), F.lit(most)).alias("last"), "distinct", "filled")
+
+
 def selected(words: Iterable[BannedWord], categories: Iterable[str]) -> list[BannedWord]:
     """The entries of these categories, in list order; none for no category."""
     chosen = {named("category", c, CATEGORIES) for c in ([categories] if isinstance(categories, str) else categories)}
