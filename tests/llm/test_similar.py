@@ -1,10 +1,11 @@
+import itertools
 import random
 import re
 
 import corpus_pipeline
 import pytest
 
-from textwarden.llm import similar
+from textwarden.llm import simhash, similar
 
 
 def brute_shingles(text):
@@ -67,3 +68,27 @@ def test_rows_are_told_apart_by_text(spark):
     kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "e"), (3, "a"), (7, "c"), (7, "d"), (9, "b")]
     assert similar.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_operator_7_brings_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.getrandbits(40)}" for _ in range(1500)] for _ in range(3)]
+    texts = [edited(rng, b, k) for b in base for k in (0, 1, 1, 2, 3)] + [" ".join(base[0]).upper(), " ".join(base[0]) + " \n", None, "", "x y"]
+    prints = {simhash.fingerprint(t, 5) for t in texts}
+    label = {p: p for p in prints}
+    for x, y in itertools.combinations(prints, 2):
+        if (x ^ y).bit_count() <= simhash.DISTANCE and label[x] != label[y]:
+            label = {p: label[x] if v == label[y] else v for p, v in label.items()}
+    assert len(set(label.values())) < len(prints) < len(set(texts)) - 1
+
+    asked, verified = [], similar.verified
+    monkeypatch.setattr(similar, "ENDS", 0)  # what is left in the first round are the operator's pairs
+    monkeypatch.setattr(similar, "verified", lambda *x: asked.append({(r.a, r.b) for r in x[2].collect()}) or verified(*x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = {r.doc_id: r.id for r in df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS id").collect()}
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == least_ids(range(len(texts)), texts)
+    met = {i: i for i in key.values()}
+    for a, b in asked[0]:
+        met = {i: met[a] if v == met[b] else v for i, v in met.items()}
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        assert (met[key[x]] == met[key[y]]) == (label[simhash.fingerprint(texts[x], 5)] == label[simhash.fingerprint(texts[y], 5)])

@@ -149,8 +149,8 @@ def _filed(part_no: int, part: Sequence[int], radius: int) -> Column:
     return F.concat(own, probes)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
-    """(a, b) of distinct fingerprints at most distance bits apart, enough to connect all such pairs.
+def buckets(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """fp, part, value, probe and crowded of what fingerprints file and probe, where another meets it: a written table.
 
     distinct has the column fp and should be a written table, as it is read more than once.
     """
@@ -165,8 +165,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
 
     sizes = keys.groupBy("part", "value").agg(F.count_if(~F.col("probe")).alias("own"), F.count(F.lit(1)).alias("n"))
     shared = sizes.filter("own > 0 AND n > 1").select("part", "value", (F.col("own") * F.col("n") > bucket_pairs).alias("crowded"))
-    met = materialize(keys.join(shared, ["part", "value"]), "simhash-buckets")
+    return materialize(keys.join(shared, ["part", "value"]), "simhash-buckets")
+
 
+def linked(met: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) of fingerprints in the buckets at most distance bits apart, enough to connect all such pairs."""
     few = met.filter("NOT crowded")
     x = few.filter("NOT probe").select("part", "value", F.col("fp").alias("a"))
     y = few.select("part", "value", F.col("fp").alias("b"), "probe")
@@ -181,6 +184,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
     return pairs.unionByName(spokes)
 
 
+def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """(a, b) of distinct fingerprints at most distance bits apart, enough to connect all such pairs."""
+    return linked(buckets(distinct, distance, parts, bucket_pairs), distance)
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, parts: int = PARTS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) for every row."""
     printed = materialize(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "fingerprints")

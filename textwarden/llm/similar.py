@@ -1,7 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by SimHash and completed by prefix filtering.
 
-This is what the pipeline's near-duplicates stage takes instead of operator 7: SimHash at two bits links
-only almost equal texts, and no distance that can be searched reaches all texts of similarity 0.8.
+Candidates come from operator 7: fingerprints of each text, correlated parts of them, thresholds by dynamic
+programming, buckets and probes. Texts whose fingerprints it links are verified on their shingles. At its two
+bits it meets only almost equal texts, and no distance that can be searched reaches all texts of
+similarity 0.8, so prefixes of ordered shingles find every link that fingerprints leave out.
 
 A text's shingles are the distinct runs of SHINGLE words, ASCII in lower case, as 64-bit values. Two
 texts are linked where their shingles' Jaccard similarity is at least SHARE[0] / SHARE[1]. Under any
@@ -12,8 +14,8 @@ flip one bit each, at least as many shingles differ as bits do. What both bounds
 is verified on all shingles. No link is missed. The order puts shingles that a sample of texts shares
 last, which keeps buckets small; results do not depend on it.
 
-The texts of a bucket are verified in two rounds. First each meets the least and greatest texts of its
-buckets alone, a few of them, so that a large group of near copies costs in proportion to its size. Then texts that are still
+Texts are verified in two rounds. First each meets the texts that its fingerprint is linked to, and the least
+and greatest texts of its buckets, a few of them, so that a large group of near copies costs in proportion to its size. Then texts that are still
 in another component than most of their bucket meet all of the bucket but their own component. Many
 unlike texts in one bucket still cost their pairs; none is dropped.
 
@@ -32,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.llm import simhash
 from textwarden.llm.common import discard, materialize, slices, tidied
 from textwarden.llm.components import components
 
@@ -134,7 +137,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """id, doc, n (its number of shingles), bits (its bitmap) and heads (the shingles it files) of each distinct text.
+    """id, doc, n (its number of shingles), fp (its fingerprint), bits (its bitmap) and heads (the shingles it files) of each distinct text.
 
     doc is of one of the rows that have the text. A task emits a text's copies once, so a group of copies brings no more rows than tasks to a shuffle.
     """
@@ -142,17 +145,18 @@ def sketches(texts: DataFrame) -> DataFrame:
     met: set[int] = set()  # of one task, as each gets its own copy
 
     def make(ids: np.ndarray, docs: pa.Array, ts: list) -> pa.RecordBatch:
-        rows = [(i, d, shingles(t)) for i, d, t in zip(ids.tolist(), docs.to_pylist(), ts) if i not in met and not met.add(i)]
+        rows = [(i, d, shingles(t), simhash.fingerprint(t, SHINGLE)) for i, d, t in zip(ids.tolist(), docs.to_pylist(), ts) if i not in met and not met.add(i)]
         kind = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([
-            pa.array([i for i, _, _ in rows], pa.int64()),
-            pa.array([d for _, d, _ in rows], docs.type),
-            pa.array([len(s) for _, _, s in rows], pa.int32()),
-            pa.array([bitmap(s) for _, _, s in rows], kind),
-            pa.array([prefix(s, common, seen).view(np.int64) for _, _, s in rows], kind),
-        ], ["id", "doc", "n", "bits", "heads"])
+            pa.array([i for i, _, _, _ in rows], pa.int64()),
+            pa.array([d for _, d, _, _ in rows], docs.type),
+            pa.array([len(s) for _, _, s, _ in rows], pa.int32()),
+            pa.array(np.array([fp for _, _, _, fp in rows], np.uint64).view(np.int64)),
+            pa.array([bitmap(s) for _, _, s, _ in rows], kind),
+            pa.array([prefix(s, common, seen).view(np.int64) for _, _, s, _ in rows], kind),
+        ], ["id", "doc", "n", "fp", "bits", "heads"])
 
-    return _mapped(texts, "n int, bits array<long>, heads array<long>", make).dropDuplicates(["id"])
+    return _mapped(texts, "n int, fp long, bits array<long>, heads array<long>", make).dropDuplicates(["id"])
 
 
 def _enough(shared: Column, n: Column, m: Column) -> Column:
@@ -202,22 +206,42 @@ def verified(texts: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFra
     return reduce(DataFrame.unionByName, out)
 
 
+def _pair(x: Column | str, y: Column | str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def alike(sketched: DataFrame) -> DataFrame:
+    """(a, b) of ids whose fingerprints operator 7 links, enough to connect all of them: a written table.
+
+    A fingerprint's least id stands for it; other texts of the same fingerprint meet that one.
+    """
+    nodes = materialize(sketched.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("texts")), "fingerprint-nodes")
+    met = simhash.buckets(nodes.select("fp"))
+    same = sketched.select("id", "fp").join(nodes.filter("texts > 1"), "fp").filter("id <> least").select(*_pair("id", "least"))
+    ends = [nodes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")) for side in ("a", "b")]
+    apart = simhash.linked(met).join(ends[0], "a").join(ends[1], "b").select(*_pair("least_a", "least_b"))
+    out = materialize(same.unionByName(apart).distinct(), "fingerprint-pairs")
+    discard(nodes, met)
+    return out
+
+
 def links(texts: DataFrame) -> DataFrame:
     """(a, b) of the ids of similar texts, enough to connect all of them.
 
     texts has the columns id, equal for equal texts only, doc and text; it is read more than once.
     """
     sketched = materialize(sketches(texts), "text-sketches")
+    printed = alike(sketched)
     entries = sketched.select("id", "n", F.posexplode("heads").alias("at", "h"))
     shared = entries.groupBy("h").count().filter("count > 1").select("h")
     met = materialize(entries.join(shared, "h"), "shingle-buckets")
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     ends = met.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("greatest"))
     ends = met.join(ends, "h").select("id", F.explode(F.array("least", "greatest")).alias("end")).filter("id <> end").groupBy("id", "end").count()
     # which ends a text meets does not matter, as the second round is exact whatever the first finds
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "end"))
-    first = ends.withColumn("rank", rank).filter(F.col("rank") <= ENDS).select(*pair("id", "end"))
-    first = materialize(first.distinct(), "similar-pairs")
+    first = ends.withColumn("rank", rank).filter(F.col("rank") <= ENDS).select(*_pair("id", "end"))
+    first = materialize(first.unionByName(printed).distinct(), "similar-pairs")
+    discard(printed)
     near = verified(texts, sketched, first)
 
     parts = components(near, "a", "b").withColumnRenamed("node", "id")
@@ -231,7 +255,7 @@ def links(texts: DataFrame) -> DataFrame:
     meeting = (F.col("part") != F.col("part_b")) & (F.col("usual") | (F.col("id") < F.col("b")))
     reach = _enough(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), F.col("n"), F.col("n_b"))
     rest = outside.withColumnRenamed("h", "own").join(every, (F.col("own") == F.col("h")) & meeting & reach & _near("n", "n_b", "bits", "bits_b"))
-    rest = materialize(rest.select(*pair("id", "b")).distinct().join(first, ["a", "b"], "left_anti"), "similar-pairs")
+    rest = materialize(rest.select(*_pair("id", "b")).distinct().join(first, ["a", "b"], "left_anti"), "similar-pairs")
     more = None if rest.isEmpty() else verified(texts, sketched, rest)
     discard(sketched, met, first, placed, split, rest)
     return near if more is None else near.unionByName(more)
