@@ -4,12 +4,13 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_quality import brute_kept
 from test_similar import least_ids
 from tokenizers import Tokenizer
 
-from textwarden.llm import mixing, queries, quality_classifier, url_filter
+from textwarden.llm import common, mixing, queries, quality_classifier, url_filter
 
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
@@ -135,3 +136,26 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert names == sorted(wanted.columns)
     rounded = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted(str([rounded(r[n]) for n in names]) for r in found.collect()) == sorted(str([rounded(r[wanted.columns.index(n)]) for n in names]) for r in wanted.fetchall())
+
+
+def test_stages_send_small_batches(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select("doc_id", "text").coalesce(1).crossJoin(spark.range(24)).coalesce(1)
+    assert texts.selectExpr("sum(octet_length(text))").first()[0] > 3 * common.BATCH_BYTES
+
+    def measured(it):
+        for batch in it:
+            longest = max(len((t or "").encode()) for t in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes], "rows": [batch.num_rows], "longest": [longest]})
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(common.BATCHES)
+        stage(spark, docs, sf_dir)
+        if name != "mixing":  # which sends nothing to Python
+            got = texts.mapInArrow(measured, "n long, rows long, longest long").collect()
+            assert sum(r.rows for r in got) == texts.count() and all(r.n <= 1.1 * common.BATCH_BYTES + 2 * r.longest for r in got)
+    for own, then in (("1000", "1000"), ("900000000", str(common.BATCH_BYTES))):
+        spark.conf.set(common.BATCHES, own)
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCHES) == then
+    spark.conf.unset(common.BATCHES)

@@ -20,9 +20,24 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a worker turns into Python objects at a time.
 SLICE_BYTES = 5_000_000
 
+#: Bytes of rows that cross to Python in one Arrow batch of the pipeline, a longer row alone.
+BATCH_BYTES = 2_000_000
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, or fewer if it has fewer.
+
+    By default a batch has up to 10,000 rows whatever their size, some 25 MB of documents, which the executor
+    holds outside its heap and each worker in its own memory, for every task at once.
+    """
+    now = spark.conf.get(BATCHES, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
