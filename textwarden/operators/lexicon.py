@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,6 +81,16 @@ class Lexicon:
         # overlapping windows in which each character is the key's or a mask (U+0000)
         self.masks_anywhere = [(re.compile("(?=(" + "".join(f"[{re.escape(c)}\0]" for c in key) + "))"), len(key), order, at) for at, (key, whole, order) in enumerate(self.maskable) if not whole]
 
+    @cached_property
+    def finder(self):
+        """What this process has looked at so far; it does not travel."""
+        from textwarden.operators.wordfind import Finder
+
+        return Finder(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "finder"}
+
     def _add(self, key: str, mode: str, order: int) -> bool:
         long = C.units(key) >= LEAST_MASKABLE
         if mode == "anywhere":

@@ -1,9 +1,9 @@
-"""Matching as a join: readings, tokens, and the lexicon's tables, for batches.
+"""Matching as a join: what the texts may be found by, and the lexicon's tables, for batches.
 
-Each reading brings an array of the keys it may be found by - words, phrases, joined letters, halves,
-chunks, places of anywhere keys - which one join with the lexicon's keys turns into hits. Texts are read
-and normalized once, and nothing but the keys is moved. The keys are broadcast up to BROADCAST_KEYS of
-them; a longer list joins by shuffle. Anywhere and masked keys are literals of the plan.
+Texts are read once, in Arrow batches: each reading brings the keys it may be found by - words, phrases,
+joined letters, halves, chunks, places of anywhere keys - as rows, which one join with the lexicon's keys
+turns into hits. Nothing but these rows is moved. Up to BROADCAST_KEYS keys the rows are those of keys that
+the lexicon has, and the keys are broadcast; of a longer list all candidates join by shuffle.
 
 Hits have: the id, reading, evasion (bits), stage, place, key, entry_order, rank. Stages follow the order
 of preference: 0 words and phrases, 1 anywhere, 2 joined letters, 3 anywhere in joined letters, 4 split
@@ -13,31 +13,55 @@ stage 5; rank orders what is found at one place, and before the place in stages
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from textwarden.functions import charsets as C
 from textwarden.functions import columns as N
+from textwarden.operators import wordfind
 from textwarden.operators.lexicon import Lexicon, surfaces
 
 SPLIT_BIT, LOOKALIKE_BIT = 4, 2
-#: Stands for any one letter in a pattern; texts holding it are mapped to U+FFFD first.
+#: Stands for any one letter in a pattern of the SQL equivalents.
 MASK = "\ue000"
+#: Rows of a batch that goes back to Spark, and texts read together.
+ROWS, TEXTS = 8192, 64
+
+
+def text_rows(df: DataFrame, doc: str, text: str, fields: str, make: Callable[[list[str | None]], Iterable[list[tuple]]]) -> DataFrame:
+    """(doc, *fields): for each text the rows that make gives for it; make gets some texts at a time."""
+    picked = df.select(doc, F.col(text).alias("__text"))
+    schema = StructType([picked.schema[0], *StructType.fromDDL(fields).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for a in range(0, batch.num_rows, TEXTS):
+                for k, found in enumerate(make(batch.column(1).slice(a, TEXTS).to_pylist()), a):
+                    at += [k] * len(found)
+                    rows += found
+                if rows and (len(rows) >= ROWS or a + TEXTS >= batch.num_rows):
+                    values = [pa.array(v, f.type) for v, f in zip(zip(*rows), list(arrow)[1:])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(arrow.field(0).type), *values], schema=arrow)
+                    at, rows = [], []
+
+    return picked.mapInArrow(run, schema)
 
 
 def readings(df: DataFrame, doc: str, text: str, lexicon: Lexicon | None = None, compatibility: bool = True) -> DataFrame:
     """(doc, reading, evasion, text): up to four rows a message, one for each different reading."""
     options = lexicon.options if lexicon else None
-    base = df.select(doc, F.col(text).alias("__raw"))
-    norm = N.normalize_table(base, "__raw", "__norm") if compatibility else base.withColumn("__norm", N.normalize("__raw", compatibility=False))
-    norm = norm.select(doc, "__norm")
-    read = N.with_readings(norm, "__norm", "__kinds", options is None or options.squeeze_repeated_letters, options is None or options.fold_lookalike_characters)
-    # the outer form: for the plain one the optimizer filters on the array first, computing it again
-    return read.select(doc, F.explode_outer("__kinds").alias("r")).select(doc, "r.*").filter("reading > 0 OR text <> ''")
 
+    def make(texts: list[str | None]) -> list[list[tuple]]:
+        return [[(n, n, t) for n, t, _ in reads] for reads in wordfind.readings(texts, options, compatibility, named=False)]
 
-def with_tokens(reads: DataFrame) -> DataFrame:
-    return reads.withColumn("tokens", N.tokenize("text"))
+    return text_rows(df, doc, text, "reading int, evasion int, text string", make)
 
 
 def token_table(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -52,7 +76,7 @@ def token_table(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 #: Rows of the key table up to which it is broadcast.
 BROADCAST_KEYS = 1_000_000
-FOUND = "array<struct<stage:int,bits:int,kind:string,place:int,key:string>>"
+FOUND = "reading int, evasion int, stage int, kind string, place int, key string"
 
 
 def key_rows(lexicon: Lexicon) -> list[tuple[str, str, str, int, int]]:
@@ -65,198 +89,128 @@ def key_rows(lexicon: Lexicon) -> list[tuple[str, str, str, int, int]]:
     return rows + [("mask", f"{'w' if whole else 'a'}{key}", key, order, 1 + k) for k, (key, whole, order) in enumerate(lexicon.maskable)]
 
 
-def key_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    rows = key_rows(lexicon)
-    table = spark.createDataFrame(rows, "kind string, key string, name string, entry_order int, rank int")
-    return F.broadcast(table) if len(rows) <= BROADCAST_KEYS else table
-
-
-def found_hits(found: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    """Hits of (doc, reading, evasion, found), found being arrays of candidate keys."""
-    # the outer form: for the plain one the optimizer filters on the array first, computing it again
-    each = found.select(doc, "reading", "evasion", F.explode_outer("found").alias("f")).select(doc, "reading", "evasion", "f.*").filter("key IS NOT NULL")
-    hit = each.join(key_table(found.sparkSession, lexicon), ["kind", "key"])
-    return hit.select(doc, "reading", F.col("evasion").bitwiseOR(F.col("bits")).alias("evasion"), "stage", F.col("place").cast("long").alias("place"), F.col("name").alias("key"), "entry_order", "rank")
-
-
-def _found(stage: int, bits: int, kind: str, place: Column, key: Column) -> Column:
-    return F.struct(F.lit(stage).alias("stage"), F.lit(bits).alias("bits"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), key.alias("key"))
-
-
 def longest(lexicon: Lexicon) -> int:
     return max([1, *[len(words) for words, _ in lexicon.phrases]])
 
 
-def words_found(tokens: str, stage: int = 0, bits: int = 0) -> Column:
-    """Tokens, each of which may be a surface form of an entry."""
-    return F.transform(tokens, lambda t, i: _found(stage, bits, "surface", i, t))
-
-
-def phrases_found(tokens: str, most: int, stage: int = 0, bits: int = 0) -> Column:
-    """Runs of 2 to most tokens, each of which may be an entry of several words."""
-
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: _found(stage, bits, "surface", i - 1, F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
-
-    return F.concat(*[of(n) for n in range(2, most + 1)]) if most > 1 else F.array().cast(FOUND)
-
-
-def anywhere_found(text: str, lexicon: Lexicon, stage: int = 1, bits: int = 0) -> Column:
-    """Every occurrence of the anywhere keys, overlapping ones too, by code point."""
-    if not lexicon.anywhere:
-        return F.array().cast(FOUND)
-    keys = F.filter(F.lit(list(lexicon.anywhere)), lambda k: F.contains(text, k))
-
-    def places(k: Column) -> Column:
-        # cut before every occurrence; each cut's place is the length of what stands before it
-        pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), k, F.lit(r"\E)")))
-        none = F.array().cast("array<int>")
-        state = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, k), F.array(F.lit(0))).otherwise(none).alias("places"))
-        ends = F.aggregate(pieces, state, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["places"], a["at"] + F.length(p)).alias("places")), lambda a: a["places"])
-        return F.filter(ends, lambda p: p < F.length(text))
-
-    return F.flatten(F.transform(keys, lambda k: F.transform(places(k), lambda p: _found(stage, bits, "anywhere", p, k))))
-
-
-def joined_line(tokens: str) -> Column:
-    """The tokens with spaces between, but for runs of single letters, which stand together."""
-    letter = rf"[\p{{L}}&&[{C.BMP}]]"
-    return F.regexp_replace(F.array_join(tokens, " "), rf"(?<=(?:^| ){letter}) (?={letter}(?: |$))", "")
-
-
-def halves_found(tokens: str) -> Column:
-    """Neighbours that may be one word split once."""
-    pair = lambda i: F.struct(i.alias("place"), F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b"))
-    starts = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    persian_letter = r"^[\x{600}-\x{6FF}&&\p{L}]"
-
-    def fits(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        x, y = F.length(a), F.length(b)
-        latin = (x >= 2) & (y >= 2) & a.rlike("^[a-z]+$") & b.rlike("^[a-z]+$")
-        persian = ((x == 1) != (y == 1)) & (x + y >= 3) & (a != C.VAV) & (b != C.VAV) & a.rlike(persian_letter) & b.rlike(persian_letter)
-        return latin | persian
-
-    return F.transform(F.filter(F.transform(starts, pair), fits), lambda p: _found(4, SPLIT_BIT, "whole", p["place"] - 1, F.concat(p["a"], p["b"])))
-
-
-SOLID = rf"[\p{{L}}\p{{Nd}}]&&[{C.BMP}]"
-BEYOND = r"[\x{10000}-\x{10FFFF}]"
-
-
-def patterns(text: str) -> Column:
-    """array<struct<place, pattern>>: chunks with symbols inside, MASK in each symbol's place."""
-    enclosed = C.java_class("".join(C.enclosed_table()))
-    folds = {k: v for k, v in (C.folded_letters() | C.enclosed_table() | C.DIGIT_LETTERS).items() if k not in C.SYMBOL_LETTERS}
-    outer = r"[^\p{L}\p{Nd}]+"
-
-    def trimmed(chunk: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(chunk, f"^{outer}", ""), f"{outer}$", "")
-
-    def units(t: Column) -> Column:
-        # a pair kept at the end counts as one unit, elsewhere as two
-        return F.length(F.regexp_replace(t, BEYOND, "__")) - F.when((F.length(t) > 1) & t.rlike(f"{BEYOND}$"), 1).otherwise(0)
-
-    def masked(t: Column) -> Column:
-        bare = F.regexp_replace(t, rf"[[\p{{M}}\p{{Cf}}]&&[{C.BMP}]]", "")
-        return N.translated(F.regexp_replace(bare, rf"[^{enclosed}[{SOLID}]]", MASK), folds)
-
-    chunks = F.transform(F.split(F.translate(text, MASK, "\ufffd"), " "), lambda c, i: F.struct(i.alias("place"), trimmed(c).alias("t")))
-    broken = F.filter(chunks, lambda c: c["t"].rlike(rf"[^[{SOLID}]]") & c["t"].rlike(rf"[\p{{L}}&&[{C.BMP}]]|[{enclosed}]") & (units(c["t"]) >= 3))
-    return F.filter(F.transform(broken, lambda c: F.struct(c["place"].alias("place"), masked(c["t"]).alias("pattern"))), lambda c: F.contains(c["pattern"], F.lit(MASK)))
-
+#: What may be looked for in a text.
+WORDS, PHRASES, ANYWHERE, JOINED, HALVES, CHUNKS = KINDS = ("words", "phrases", "anywhere", "joined", "halves", "chunks")
+
+
+class Candidates:
+    """The keys by which texts may be found: of those the lexicon has, or where known is false of all."""
+
+    def __init__(self, lexicon: Lexicon, kinds: Iterable[str], known: bool):
+        self.lexicon, self.kinds, self.known, self.most = lexicon, frozenset(kinds), known, longest(lexicon)
+
+    def of(self, reads: list[wordfind.Reading]) -> list[tuple]:
+        """FOUND rows of the readings of one text."""
+        finder, kinds, out = self.lexicon.finder, self.kinds, []
+        finder.rest()
+        for number, text, names in reads:
+            hot = finder.hot(names)
+            self.words(out, number, number, 0, names, hot)
+            if ANYWHERE in kinds:
+                out += [(number, number, 1, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(text, names, hot)]
+            if JOINED in kinds and (runs := wordfind.letter_runs(names, hot)):
+                parts = wordfind.with_runs_joined(names, runs)
+                bits, parts_hot = number | SPLIT_BIT, finder.hot(parts)
+                self.words(out, number, bits, 2, parts, parts_hot)
+                if ANYWHERE in kinds:
+                    out += [(number, bits, 3, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(" ".join(parts), parts, parts_hot)]
+            if HALVES in kinds:
+                pairs = wordfind.halves(self.lexicon, names) if self.known else [i for i, (a, b) in enumerate(zip(names, names[1:])) if wordfind.halves_may_join(a, b)]
+                out += [(number, number | SPLIT_BIT, 4, "whole", i, names[i] + names[i + 1]) for i in pairs]
+        if CHUNKS in kinds and reads:
+            for i, chunk in finder.chunks(reads[0][1]):
+                if chunk.bare_order is not None or chunk.bare and not self.known:
+                    out.append((0, SPLIT_BIT, 5, "surface", i, chunk.bare))
+                for at in chunk.masks:
+                    key, whole, _ = self.lexicon.maskable[at]
+                    out.append((0, LOOKALIKE_BIT, 5, "mask", i, ("w" if whole else "a") + key))
+        return out
+
+    def words(self, out: list[tuple], number: int, bits: int, stage: int, names: list[str], hot: list) -> None:
+        """Words, and runs of words, each of which may be a surface form of an entry."""
+        finder = self.lexicon.finder
+        if self.known:
+            for i, held in hot:
+                if WORDS in self.kinds and held.order is not None:
+                    out.append((number, bits, stage, "surface", i, names[i]))
+                if PHRASES in self.kinds and held.starts:
+                    out += [(number, bits, stage, "surface", i, key) for key in finder.phrases(names, i)]
+            return
+        for n in range(1, self.most + 1):
+            if (WORDS if n == 1 else PHRASES) in self.kinds:
+                out += [(number, bits, stage, "surface", i, " ".join(names[i : i + n])) for i in range(len(names) - n + 1)]
+
+
+def found_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, kinds: Iterable[str] = KINDS, compatibility: bool = True, only: int = 3) -> DataFrame:
+    """Hits of some kinds in the readings up to number only."""
+    rows = key_rows(lexicon)
+    known = len(rows) <= BROADCAST_KEYS
+    candidates, named = Candidates(lexicon, kinds, known), bool({*kinds} - {CHUNKS})
 
-def chunks_found(text: str, lexicon: Lexicon) -> Column:
-    """Patterns with the symbols taken out, or standing for one letter each."""
-    broken, parts = patterns(text), []
-    if lexicon.options.join_spaced_letters:
-        bare = F.transform(broken, lambda c: _found(5, SPLIT_BIT, "surface", c["place"], F.translate(c["pattern"], MASK, "")))
-        parts.append(F.filter(bare, lambda f: F.length(F.regexp_replace(f["key"], BEYOND, "__")) >= 3))
-    if lexicon.options.fold_lookalike_characters and lexicon.maskable:
-        wholes = [key for key, whole, _ in lexicon.maskable if whole]
-        inner = [key for key, whole, _ in lexicon.maskable if not whole]
-        masks = lambda p: F.length(p) - F.length(F.translate(p, MASK, ""))
+    def make(texts: list[str | None]) -> list[list[tuple]]:
+        return [candidates.of(reads) for reads in wordfind.readings(texts, lexicon.options, compatibility, named, only)]
 
-        def fit(p: Column, key: Column) -> Column:
-            # a pattern that is no literal is compiled each time, so first and last characters go before it
-            head, tail = F.substring(p, 1, 1), F.substring(p, -1, 1)
-            ends = ((head == MASK) | F.startswith(key, head)) & ((tail == MASK) | F.endswith(key, tail))
-            return ends & (masks(p) > 0) & (masks(p) * 2 <= F.length(key)) & F.like(key, F.translate(p, MASK, "_"))
+    each = text_rows(df, doc, text, FOUND, make)
+    keys = df.sparkSession.createDataFrame(rows, "kind string, key string, name string, entry_order int, rank int")
+    hit = each.join(F.broadcast(keys) if known else keys, ["kind", "key"])
+    return hit.select(doc, "reading", "evasion", "stage", F.col("place").cast("long").alias("place"), F.col("name").alias("key"), "entry_order", "rank")
 
-        emit = lambda c, keys, kind, test: F.transform(F.filter(keys, test), lambda key: _found(5, LOOKALIKE_BIT, "mask", c["place"], F.concat(F.lit(kind), key)))
-        if wholes:
-            by_length = F.create_map(*[x for n in sorted({len(key) for key in wholes}) for x in (F.lit(n), F.lit([key for key in wholes if len(key) == n]))])
-            sized = lambda p: F.coalesce(F.when(masks(p) * 2 <= F.length(p), F.try_element_at(by_length, F.length(p))), F.array().cast("array<string>"))
-            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, sized(c["pattern"]), "w", lambda key: fit(c["pattern"], key)))))
-        if inner:
-            window = lambda p, i, key: F.substring(p, i, F.length(key))
-            within = lambda p, key: (F.length(p) >= F.length(key)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(p) - F.length(key) + 1, F.lit(1))), lambda i: fit(window(p, i, key), key))
-            parts.append(F.flatten(F.transform(broken, lambda c: emit(c, F.lit(inner), "a", lambda key: within(c["pattern"], key)))))
-    return F.concat(*parts) if parts else F.array().cast(FOUND)
 
+def word_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True, only: int = 3) -> DataFrame:
+    return found_hits(df, doc, text, lexicon, [WORDS], compatibility, only)
 
-def word_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    return found_hits(tokens.withColumn("found", words_found("tokens")), doc, lexicon)
 
+def phrase_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    return found_hits(df, doc, text, lexicon, [PHRASES], compatibility)
 
-def phrase_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    return found_hits(tokens.withColumn("found", phrases_found("tokens", longest(lexicon))), doc, lexicon)
 
+def anywhere_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    return found_hits(df, doc, text, lexicon, [ANYWHERE], compatibility)
 
-def anywhere_hits(reads: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    return found_hits(reads.withColumn("found", anywhere_found("text", lexicon)), doc, lexicon)
 
+def split_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    return found_hits(df, doc, text, lexicon, [HALVES], compatibility)
 
-def split_hits(tokens: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    return found_hits(tokens.withColumn("found", halves_found("tokens")), doc, lexicon)
 
+def chunk_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    return found_hits(df, doc, text, lexicon, [CHUNKS], compatibility, only=0)
 
-def chunk_hits(reads: DataFrame, doc: str, lexicon: Lexicon) -> DataFrame:
-    normal = reads.filter("reading = 0")
-    return found_hits(normal.withColumn("found", chunks_found("text", lexicon)), doc, lexicon)
 
+def patterns(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    """(doc, place, pattern): chunks with symbols inside; U+0000 stands for each symbol."""
 
-SINGLE = rf"^[\p{{L}}&&[{C.BMP}]]$"
+    def make(texts: list[str | None]) -> Iterator[list[tuple]]:
+        for reads in wordfind.readings(texts, lexicon.options, compatibility, named=False, only=0):
+            lexicon.finder.rest()
+            yield [(i, chunk.pattern) for _, normal, _ in reads for i, chunk in lexicon.finder.chunks(normal)]
 
+    return text_rows(df, doc, text, "place int, pattern string", make)
 
-def letter_runs(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, reading, evasion, place, key, letters): tokens, runs of adjacent single letters put together.
 
-    Only messages with such a run.
-    """
-    # one mention of tokens: the filter moves to where they are made and repeats what it mentions
-    state = F.struct(F.lit(False).alias("was"), F.lit(False).alias("found"))
-    adjacent = F.aggregate("tokens", state, lambda a, t: F.struct(t.rlike(SINGLE).alias("was"), (a["found"] | (a["was"] & t.rlike(SINGLE))).alias("found")), lambda a: a["found"])
-    some = tokens.filter(adjacent)
-    each = some.select(doc, "reading", "evasion", F.posexplode_outer("tokens").alias("pos", "tok"))
-    order = Window.partitionBy(doc, "reading").orderBy("pos")
-    one = F.col("tok").rlike(SINGLE)
-    opens = (~(one & F.coalesce(F.lag(one).over(order), F.lit(False)))).cast("int")
-    runs = each.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    letters = F.array_sort(F.collect_list(F.struct("pos", "tok")))
-    joined = runs.groupBy(doc, "reading", "evasion", "run").agg(letters.alias("l"), F.min("pos").alias("place"), F.count(F.lit(1)).alias("letters"))
-    return joined.select(doc, "reading", "evasion", "place", F.array_join(F.transform("l", lambda x: x["tok"]), "").alias("key"), "letters")
+def joined_tokens(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
+    """(doc, reading, evasion, place, key, letters): runs of two or more adjacent single letters, put together."""
 
+    def make(texts: list[str | None]) -> Iterator[list[tuple]]:
+        finder = lexicon.finder
+        for reads in wordfind.readings(texts, lexicon.options, compatibility):
+            finder.rest()
+            yield [(n, n, a, "".join(names[a:b]), b - a) for n, _, names in reads for a, b in wordfind.letter_runs(names, finder.hot(names))]
 
-def joined_tokens(tokens: DataFrame, doc: str) -> DataFrame:
-    """The runs of two letters or more."""
-    return letter_runs(tokens, doc).filter("letters > 1")
+    return text_rows(df, doc, text, "reading int, evasion int, place int, key string, letters long", make)
 
 
 def hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility: bool = True) -> DataFrame:
     """All hits of all messages, from every stage."""
-    most, options = longest(lexicon), lexicon.options
-    tokens = with_tokens(readings(df, doc, text, lexicon, compatibility))
-    found = [words_found("tokens"), phrases_found("tokens", most), anywhere_found("text", lexicon)]
+    options, kinds = lexicon.options, [WORDS, PHRASES, ANYWHERE]
     if options.join_spaced_letters:
-        line = joined_line("tokens")
-        tokens = tokens.withColumn("joined", F.when(line != F.array_join("tokens", " "), line)).withColumn("parts", F.split("joined", " "))
-        joined = [words_found("parts", 2, SPLIT_BIT), phrases_found("parts", most, 2, SPLIT_BIT), anywhere_found("joined", lexicon, 3, SPLIT_BIT)]
-        found += [F.when(F.col("joined").isNotNull(), F.concat(*joined)).otherwise(F.array().cast(FOUND)), halves_found("tokens")]
+        kinds += [JOINED, HALVES]
     if options.join_spaced_letters or options.fold_lookalike_characters:
-        found.append(F.when(F.col("reading") == 0, chunks_found("text", lexicon)).otherwise(F.array().cast(FOUND)))
-    return found_hits(tokens.select(doc, "reading", "evasion", F.concat(*found).alias("found")), doc, lexicon)
+        kinds.append(CHUNKS)
+    return found_hits(df, doc, text, lexicon, kinds, compatibility)
 
 
 def first_hits(found: DataFrame, doc: str) -> DataFrame:

@@ -76,10 +76,6 @@ def _reads(spark: SparkSession, sf: str) -> DataFrame:
     return relational.readings(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False)
 
 
-def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.with_tokens(_reads(spark, sf))
-
-
 def _entries(spark: SparkSession) -> DataFrame:
     return lexicon().tables(spark)["entries"]
 
@@ -307,20 +303,20 @@ def suffix_expansion(spark, sf):
 
 @query(f"WITH {readings_sql()} SELECT doc_id, reading, place, key, entry_order FROM tok JOIN {keys_sql('surfaces')} USING (key)")
 def word_hits(spark, sf):
-    return relational.word_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.word_hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()}, a AS (SELECT doc_id, reading, place, key AS x, lead(key) OVER w AS y, lead(key, 2) OVER w AS z FROM tok WINDOW w AS (PARTITION BY doc_id, reading ORDER BY place)),
 g AS (SELECT doc_id, reading, place, x || ' ' || y AS key FROM a WHERE y IS NOT NULL UNION ALL SELECT doc_id, reading, place, x || ' ' || y || ' ' || z FROM a WHERE z IS NOT NULL)
 SELECT doc_id, reading, place, key, entry_order FROM g JOIN {keys_sql('phrases')} USING (key)""")
 def phrase_hits(spark, sf):
-    return relational.phrase_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.phrase_hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()} SELECT doc_id, reading, i - 1 AS place, key, entry_order FROM (SELECT doc_id, reading, text, key, entry_order, unnest(range(1, length(text) - length(key) + 2)) AS i
 FROM reads JOIN {keys_sql('anywhere')} ON contains(text, key)) WHERE substr(text, i, length(key)) = key""")
 def anywhere_hits(spark, sf):
-    return relational.anywhere_hits(_reads(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.anywhere_hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 @query(f"""WITH {readings_sql()}, o AS (SELECT *, length(key) = 1 AND regexp_matches(key, '^\\p{{L}}$') AS one FROM tok),
@@ -328,13 +324,13 @@ r AS (SELECT *, CASE WHEN one AND coalesce(lag(one) OVER w, false) THEN 0 ELSE 1
 q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, reading ORDER BY place) AS run FROM r)
 SELECT doc_id, reading, min(place) AS place, string_agg(key, '' ORDER BY place) AS key, count(*) AS letters FROM q GROUP BY doc_id, reading, run HAVING count(*) > 1""")
 def joined_single_letters(spark, sf):
-    return relational.joined_tokens(_tokens(spark, sf), "doc_id").select("doc_id", "reading", F.col("place").cast("long").alias("place"), "key", "letters")
+    return relational.joined_tokens(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "reading", F.col("place").cast("long").alias("place"), "key", "letters")
 
 
 @query(f"""WITH {readings_sql()}, p AS (SELECT doc_id, reading, place, key AS a, lead(key) OVER (PARTITION BY doc_id, reading ORDER BY place) AS b FROM tok)
 SELECT doc_id, reading, place, a || b AS key, entry_order FROM p JOIN {keys_sql('words')} ON key = a || b WHERE length(a) >= 2 AND length(b) >= 2 AND regexp_matches(a || b, '^[a-z]+$')""")
 def split_halves(spark, sf):
-    return relational.split_hits(_tokens(spark, sf), "doc_id", lexicon()).select("doc_id", "reading", "place", "key", "entry_order")
+    return relational.split_hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "reading", "place", "key", "entry_order")
 
 
 DISGUISED = f"translate(text, '{DISGUISE[0]}', '{DISGUISE[1]}')"
@@ -342,15 +338,13 @@ DISGUISED = f"translate(text, '{DISGUISE[0]}', '{DISGUISE[1]}')"
 
 @query(f"WITH {hits_sql(DISGUISED)} SELECT doc_id, count(*) AS chunks FROM pattern GROUP BY doc_id")
 def broken_chunks(spark, sf):
-    reads = relational.readings(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False).filter("reading = 0")
-    return reads.select("doc_id", F.explode_outer(relational.patterns("text")).alias("p")).filter("p IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return relational.patterns(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"WITH {hits_sql(DISGUISED)} SELECT doc_id, CAST(place AS BIGINT) AS place, key, evasion, entry_order FROM hits WHERE stage = 5")
 def chunk_hits(spark, sf):
     """Chunks of disguised documents, with symbols taken out and standing for letters."""
-    reads = relational.readings(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False)
-    return relational.chunk_hits(reads, "doc_id", lexicon()).select("doc_id", "place", "key", "evasion", "entry_order")
+    return relational.chunk_hits(_disguised(spark, sf), "doc_id", "text", lexicon(), compatibility=False).select("doc_id", "place", "key", "evasion", "entry_order")
 
 
 DIRECT = f"WITH {hits_sql()}"
@@ -378,8 +372,7 @@ def hits_by_category(spark, sf):
 JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, category)""")
 def words_by_category(spark, sf):
     """Undisguised whole words; only the normalized reading is made."""
-    words = _normal(spark, sf).select("doc_id", F.lit(0).alias("reading"), F.lit(0).alias("evasion"), N.tokenize("norm").alias("tokens"))
-    named = relational.word_hits(words, "doc_id", lexicon()).join(F.broadcast(_entries(spark).select("entry_order", "category")), "entry_order")
+    named = relational.word_hits(_read(spark, sf, "documents"), "doc_id", "text", lexicon(), compatibility=False, only=0).join(F.broadcast(_entries(spark).select("entry_order", "category")), "entry_order")
     return named.join(_read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").rollup("lang", "category").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
 
 
