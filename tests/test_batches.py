@@ -64,3 +64,13 @@ def test_relational_path_reads_texts_once(spark):
     df = spark.createDataFrame([(1, "you f*ck"), (2, None)], "id long, text string")
     plan = explained(relational.hits(df, "id", "text", compile_lexicon(wordlist.parse(LIST_TEXT))))
     assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "translate" not in plan
+
+
+def test_streams_of_tables_in_many_files(spark, sf_dir, tmp_path):
+    from textwarden.plans.queries import QUERIES
+
+    for table in ("conversations", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    for name in ("message_stream", "stream_match_counts"):
+        want = QUERIES[name](spark, sf_dir).collect()
+        assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))

@@ -68,6 +68,11 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """The table's files as a stream, be it one file or a folder of them: a stream takes a pattern for either."""
+    return spark.readStream.schema(_read(spark, sf, table).schema).parquet(f"{sf}/{table}[.]parquet")
+
+
 def _normal(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
     return _read(spark, sf, table).withColumn("norm", N.normalize("text", compatibility=False))
 
@@ -466,7 +471,7 @@ def message_stream(spark, sf):
     from textwarden.streaming.reports import censored
 
     base = f"{work_folder(spark)}/textwarden-stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(_read(spark, sf, "conversations").schema).option("pathGlobFilter", "*conversations*.parquet").parquet(sf)
+    source = _stream(spark, sf, "conversations")
     running = censored(source, guard(), "text").writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/rows")
     running.awaitTermination()
     return spark.read.parquet(f"{base}/rows").filter("censored IS NOT NULL").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("messages"))
@@ -479,7 +484,7 @@ def stream_match_counts(spark, sf):
     from textwarden.streaming.reports import match_counts
 
     base = f"{work_folder(spark)}/textwarden-stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(_read(spark, sf, "events").schema).option("pathGlobFilter", "*events*.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    source = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = match_counts(source, Guard(EVENT_WORDS), "event_type", "ts", "6 hours", "1 hour")
     # each run of the counts replaces the table, so the last is the whole
     replace = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows")
