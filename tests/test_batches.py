@@ -34,14 +34,14 @@ def test_batches_equal_rows(texts):
 
 
 def test_readings_equal_rows(texts):
-    from textwarden.operators.rowmatch import Message
-
     lexicon = compile_lexicon(wordlist.parse(LIST_TEXT))
-    found = wordfind.readings(texts, lexicon.options)
-    for text, reads in zip(texts, found):
-        message = Message(lexicon, text or "")
-        assert [(n, t) for n, t, _ in reads] == [(n, t) for n, _, t in message.readings() if message.normalized]
-        assert [w for _, _, w in reads] == [T.words(t) for _, t, _ in reads]
+    for text, reads, bare in zip(texts, lexicon.finder.readings(texts), wordfind.readings(texts, lexicon.options)):
+        normal, end, other = T.normalize(text), B.END_TEXT, chr(B.END - 1)
+        want = dict.fromkeys([normal, T.squeeze(normal), T.fold(normal), T.squeeze(T.fold(normal))]) if normal else {}
+        assert [t for _, t, _, _ in bare] == [*want] and [t for _, t, _, _ in reads] == [t.replace(end, other) for t in want]
+        for _, t, words, _ in reads:
+            assert words.names == T.words(t) and words.starts.tolist() == [a for _, a, _ in T.tokens(t)]
+            assert lexicon.finder.held_in(words) == lexicon.finder.hot(words.names)
 
 
 def test_chunks_are_looked_at_once(monkeypatch):
@@ -49,7 +49,7 @@ def test_chunks_are_looked_at_once(monkeypatch):
     look = wordfind.Finder._chunk
     monkeypatch.setattr(wordfind.Finder, "_chunk", lambda self, piece: seen.append(piece) or look(self, piece))
     candidates = relational.Candidates(lexicon, relational.KINDS, True)
-    rows = [candidates.of(reads) for reads in wordfind.readings(["you f*ck, f*ck"] * 50, lexicon.options)]
+    rows = [candidates.of(reads) for reads in lexicon.finder.readings(["you f*ck, f*ck"] * 50)]
     assert rows == rows[:1] * 50 and rows[0]
     assert sorted(seen) == sorted(set(seen))
 
@@ -74,3 +74,10 @@ def test_streams_of_tables_in_many_files(spark, sf_dir, tmp_path):
     for name in ("message_stream", "stream_match_counts"):
         want = QUERIES[name](spark, sf_dir).collect()
         assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+
+
+def test_first_match_is_made_once(spark, sf_dir):
+    from textwarden.plans.queries import QUERIES
+
+    for name in ("first_matches", "first_match_entries"):
+        assert explained(QUERIES[name](spark, sf_dir)).count("ArrowEvalPython") == 1

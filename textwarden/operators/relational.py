@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textwarden.functions import columns as N
+from textwarden.functions.batchtext import Words
 from textwarden.operators import wordfind
 from textwarden.operators.lexicon import Lexicon, surfaces
 
@@ -59,7 +60,7 @@ def readings(df: DataFrame, doc: str, text: str, lexicon: Lexicon | None = None,
     options = lexicon.options if lexicon else None
 
     def make(texts: list[str | None]) -> list[list[tuple]]:
-        return [[(n, n, t) for n, t, _ in reads] for reads in wordfind.readings(texts, options, compatibility, named=False)]
+        return [[(n, n, t) for n, t, _, _ in reads] for reads in wordfind.readings(texts, options, compatibility)]
 
     return text_rows(df, doc, text, "reading int, evasion int, text string", make)
 
@@ -107,22 +108,23 @@ class Candidates:
         """FOUND rows of the readings of one text."""
         finder, kinds, out = self.lexicon.finder, self.kinds, []
         finder.rest()
-        for number, text, names in reads:
-            hot = finder.hot(names)
-            self.words(out, number, number, 0, names, hot)
+        for number, text, words, _ in reads if kinds - {CHUNKS} else ():
+            hot = finder.held_in(words)
+            if kinds & {WORDS, PHRASES} and (hot or not self.known):
+                self.words(out, number, number, 0, words if self.known else words.names, hot)
             if ANYWHERE in kinds:
-                out += [(number, number, 1, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(text, names, hot)]
-            if JOINED in kinds and (runs := wordfind.letter_runs(names, hot)):
-                parts = wordfind.with_runs_joined(names, runs)
-                bits, parts_hot = number | SPLIT_BIT, finder.hot(parts)
+                out += [(number, number, 1, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(text, words.starts, hot)]
+            if JOINED in kinds and (runs := wordfind.letter_runs(hot)):
+                parts = wordfind.with_runs_joined(words.names, runs)
+                bits, parts_hot = number | SPLIT_BIT, finder.held_in_parts(hot, runs, parts)
                 self.words(out, number, bits, 2, parts, parts_hot)
-                if ANYWHERE in kinds:
-                    out += [(number, bits, 3, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(" ".join(parts), parts, parts_hot)]
+                if ANYWHERE in kinds and (finder.loose or any(h.inside for _, h in parts_hot)):
+                    out += [(number, bits, 3, "anywhere", at, finder.keys[n]) for n, at in finder.anywhere(" ".join(parts), wordfind.starts(parts), parts_hot)]
             if HALVES in kinds:
-                pairs = wordfind.halves(self.lexicon, names) if self.known else [i for i, (a, b) in enumerate(zip(names, names[1:])) if wordfind.halves_may_join(a, b)]
-                out += [(number, number | SPLIT_BIT, 4, "whole", i, names[i] + names[i + 1]) for i in pairs]
+                pairs = wordfind.halves(self.lexicon, words) if self.known else [i for i, (a, b) in enumerate(zip(words.names, words.names[1:])) if wordfind.halves_may_join(a, b)]
+                out += [(number, number | SPLIT_BIT, 4, "whole", i, words.name(i) + words.name(i + 1)) for i in pairs]
         if CHUNKS in kinds and reads:
-            for i, chunk in finder.chunks(reads[0][1]):
+            for i, _, chunk in finder.chunks(reads):
                 if chunk.bare_order is not None or chunk.bare and not self.known:
                     out.append((0, SPLIT_BIT, 5, "surface", i, chunk.bare))
                 for at in chunk.masks:
@@ -130,7 +132,7 @@ class Candidates:
                     out.append((0, LOOKALIKE_BIT, 5, "mask", i, ("w" if whole else "a") + key))
         return out
 
-    def words(self, out: list[tuple], number: int, bits: int, stage: int, names: list[str], hot: list) -> None:
+    def words(self, out: list[tuple], number: int, bits: int, stage: int, names: list[str] | Words, hot: list) -> None:
         """Words, and runs of words, each of which may be a surface form of an entry."""
         finder = self.lexicon.finder
         if self.known:
@@ -149,10 +151,11 @@ def found_hits(df: DataFrame, doc: str, text: str, lexicon: Lexicon, kinds: Iter
     """Hits of some kinds in the readings up to number only."""
     rows = key_rows(lexicon)
     known = len(rows) <= BROADCAST_KEYS
-    candidates, named = Candidates(lexicon, kinds, known), bool({*kinds} - {CHUNKS})
+    candidates = Candidates(lexicon, kinds, known)
 
     def make(texts: list[str | None]) -> list[list[tuple]]:
-        return [candidates.of(reads) for reads in wordfind.readings(texts, lexicon.options, compatibility, named, only)]
+        finder = lexicon.finder if candidates.kinds - {CHUNKS} else None
+        return [candidates.of(reads) for reads in wordfind.readings(texts, lexicon.options, compatibility, finder, only, CHUNKS in candidates.kinds)]
 
     each = text_rows(df, doc, text, FOUND, make)
     keys = df.sparkSession.createDataFrame(rows, "kind string, key string, name string, entry_order int, rank int")
@@ -184,9 +187,9 @@ def patterns(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatibility
     """(doc, place, pattern): chunks with symbols inside; U+0000 stands for each symbol."""
 
     def make(texts: list[str | None]) -> Iterator[list[tuple]]:
-        for reads in wordfind.readings(texts, lexicon.options, compatibility, named=False, only=0):
+        for reads in wordfind.readings(texts, lexicon.options, compatibility, only=0, chunked=True):
             lexicon.finder.rest()
-            yield [(i, chunk.pattern) for _, normal, _ in reads for i, chunk in lexicon.finder.chunks(normal)]
+            yield [(i, chunk.pattern) for i, _, chunk in lexicon.finder.chunks(reads)]
 
     return text_rows(df, doc, text, "place int, pattern string", make)
 
@@ -196,9 +199,9 @@ def joined_tokens(df: DataFrame, doc: str, text: str, lexicon: Lexicon, compatib
 
     def make(texts: list[str | None]) -> Iterator[list[tuple]]:
         finder = lexicon.finder
-        for reads in wordfind.readings(texts, lexicon.options, compatibility):
+        for reads in finder.readings(texts, compatibility):
             finder.rest()
-            yield [(n, n, a, "".join(names[a:b]), b - a) for n, _, names in reads for a, b in wordfind.letter_runs(names, finder.hot(names))]
+            yield [(n, n, a, "".join(words.names[a:b]), b - a) for n, _, words, _ in reads for a, b in wordfind.letter_runs(finder.held_in(words))]
 
     return text_rows(df, doc, text, "reading int, evasion int, place int, key string, letters long", make)
 

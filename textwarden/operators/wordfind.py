@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import regex
 
@@ -22,13 +23,12 @@ from textwarden.schemas import GuardOptions
 SEEN = 200_000
 #: Stands for any one letter in a broken chunk's pattern.
 ANY = "\0"
-#: ASCII characters that are neither letters nor digits; of the basic plane, letters and digits alone.
+#: ASCII characters that are neither letters nor digits.
 ASCII_SYMBOLS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
-SOLID = regex.compile(r"[[\p{L}\p{Nd}]&&[\u0000-￿]]*", regex.V1)
 WORD_ONLY = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 ASCII_PATTERN = {ord(c): C.DIGIT_LETTERS.get(c, c) if c.isalnum() else ANY for c in map(chr, range(128))}
-#: number, text and words of a reading.
-Reading = tuple[int, str, list[str]]
+#: number and text of a reading; its words, which a finder's readings have; of the normalized one the broken chunks.
+Reading = tuple[int, str, B.Words | None, list[B.Piece]]
 
 
 def composed(text: str | None) -> str:
@@ -36,10 +36,11 @@ def composed(text: str | None) -> str:
     return text or "" if not text or text.isascii() else unicodedata.normalize("NFKC", text)
 
 
-def readings(texts: list[str | None], options: GuardOptions | None = None, compatibility: bool = True, named: bool = True, only: int = 3) -> list[list[Reading]]:
+def readings(texts: list[str | None], options: GuardOptions | None = None, compatibility: bool = True, finder: Finder | None = None, only: int = 3, chunked: bool = False) -> list[list[Reading]]:
     """Of each text the readings up to number only, without those that equal an earlier one; none of a blank text.
 
-    Numbers are evasion bits too: 0 normalized, 1 squeezed, 2 folded, 3 both.
+    Numbers are evasion bits too: 0 normalized, 1 squeezed, 2 folded, 3 both. A finder adds their words, chunked
+    the broken chunks.
     """
     squeezing, folding = options is None or options.squeeze_repeated_letters, options is None or options.fold_lookalike_characters
 
@@ -52,24 +53,21 @@ def readings(texts: list[str | None], options: GuardOptions | None = None, compa
             if squeezing and only >= 3:
                 made.append((3, B.squeezed(made[-1][1])))
         apart = [B.apart(c) for _, c in made]
-        names = [B.words(c) if named else [[]] * len(apart[0]) for _, c in made]
+        words = [B.placed_words(c, t, finder.table, finder.least) if finder else [None] * len(t) for (_, c), t in zip(made, apart)]
         out = []
-        for row, words in zip(zip(*apart), zip(*names)):
-            found: list[Reading] = []
-            if row[0]:
-                for k, text in enumerate(row):
-                    if text not in row[:k]:
-                        found.append((made[k][0], text, words[k]))
-            out.append(found)
+        for row, found, pieces in zip(zip(*apart), zip(*words), B.broken_chunks(made[0][1]) if chunked else [()] * len(apart[0])):
+            out.append([(made[k][0], text, found[k], () if k else pieces) for k, text in enumerate(row) if text not in row[:k]] if row[0] else [])
         return out
 
     def one(text: str) -> list[Reading]:
+        if finder or chunked:  # another noncharacter stands for it
+            return readings([text.replace(B.END_TEXT, chr(B.END - 1))], options, compatibility, finder, only, chunked)[0]
         first = rowtext.normalize(text, COMPARISON - {"compatibilityForms"})
         forms = [(0, lambda: first), (1, lambda: rowtext.squeeze(first)), (2, lambda: rowtext.fold(first)), (3, lambda: rowtext.squeeze(rowtext.fold(first)))]
         found: list[Reading] = []
         for number, form in forms:
-            if first and number <= only and (squeezing or not number & 1) and (folding or not number & 2) and (new := form()) not in [t for _, t, _ in found]:
-                found.append((number, new, rowtext.words(new) if named else []))
+            if first and number <= only and (squeezing or not number & 1) and (folding or not number & 2) and (new := form()) not in [r[1] for r in found]:
+                found.append((number, new, None, ()))
         return found
 
     return B.each(map(composed, texts) if compatibility else texts, many, one)
@@ -129,6 +127,40 @@ class Masks:
         return out
 
 
+class Windows:
+    """Keys of any length as bits, to be found anywhere in a pattern."""
+
+    def __init__(self, keys: list[tuple[str, int]]):
+        self.keys = keys
+        longest = max(len(key) for key, _ in keys)
+        self.fitting = [sum(1 << k for k, (key, _) in enumerate(keys) if len(key) <= n) for n in range(longest + 1)]
+        #: What a character leaves of the keys at each place, and what any other does: keys that have ended.
+        self.places: list[tuple[dict[str, int], int]] = []
+        for j in range(longest):
+            place: dict[str, int] = {}
+            for k, (key, _) in enumerate(keys):
+                if j < len(key):
+                    place[key[j]] = place.get(key[j], self.fitting[j]) | 1 << k
+            self.places.append((place, self.fitting[j]))
+
+    def named(self, pattern: str) -> set[int]:
+        out, size, fitting, most = set(), len(pattern), self.fitting, len(self.fitting) - 1
+        for i in range(size):
+            bits = fitting[min(most, size - i)]
+            for c, (place, ended) in zip(pattern[i : i + most], self.places):
+                if c != ANY:
+                    bits &= place.get(c, ended)
+                if not bits:
+                    break
+            while bits:
+                low = bits & -bits
+                bits ^= low
+                key, at = self.keys[low.bit_length() - 1]
+                if 0 < 2 * pattern.count(ANY, i, i + len(key)) <= len(key):
+                    out.add(at)
+        return out
+
+
 class Finder:
     def __init__(self, lexicon):
         self.lexicon = lexicon
@@ -144,16 +176,50 @@ class Finder:
         self.heads: dict[str, list[tuple[int, str]]] = {}
         for n, key in inner:
             self.heads.setdefault(key[: self.least], []).append((n, key))
-        wholes, within = {}, {}
+        wholes: dict[int, list[tuple[str, int]]] = {}
         for at, (key, whole, _) in enumerate(lexicon.maskable):
-            (wholes if whole else within).setdefault(len(key), []).append((key, at))
+            if whole:
+                wholes.setdefault(len(key), []).append((key, at))
+        within = [(key, at) for at, (key, whole, _) in enumerate(lexicon.maskable) if not whole]
         self.wholes = {n: Masks(keys) for n, keys in wholes.items()}
-        self.within = {n: Masks(keys) for n, keys in within.items()}
+        self.within = Windows(within) if within else None
         self.phrase_keys: dict[str, set[tuple[int, str]]] = {}
         for first, phrases in lexicon.starts.items():
             self.phrase_keys[first] = {(len(middle) + 2, " ".join([first, *middle, form])) for middle, last, _ in phrases for form in last}
         self.phrase_sizes = {first: sorted({n for n, _ in keys}) for first, keys in self.phrase_keys.items()}
 
+        heads = {key[: self.least] for _, key in inner}
+        self.table = B.Table({B.WORDS: [*lexicon.surface, *lexicon.starts], B.PAIRS: lexicon.whole, B.HEADS: heads})
+
+    def readings(self, texts: list[str | None], compatibility: bool = True, only: int = 3) -> list[list[Reading]]:
+        return readings(texts, self.lexicon.options, compatibility, self, only, True)
+
+    def held_in(self, words: B.Words) -> list[tuple[int, Held]]:
+        """The words of a reading that hold something, and their numbers."""
+        out = []
+        for i in words.hot:
+            word = words.name(i)
+            if word not in self.plain:
+                if word not in self.held:
+                    self._look(word)
+                if (held := self.held.get(word)) is not None:
+                    out.append((i, held))
+        return out
+
+    def held_in_parts(self, hot: list[tuple[int, Held]], runs: list[tuple[int, int]], parts: list[str]) -> list[tuple[int, Held]]:
+        """The same of the parts that words become where runs of single letters are joined."""
+        out, gone, k = [], 0, 0
+        for a, b in [*runs, (1 << 62, 0)]:
+            while k < len(hot) and hot[k][0] < a:
+                out.append((hot[k][0] - gone, hot[k][1]))
+                k += 1
+            while k < len(hot) and hot[k][0] < b:
+                k += 1
+            if b:
+                out += [(a - gone, held) for _, held in self.hot([parts[a - gone]])]
+                gone += b - a - 1
+        return out
+
     def hot(self, names: list[str]) -> list[tuple[int, Held]]:
         """The words that hold something, and their numbers."""
         if self.plain.issuperset(names):
@@ -190,13 +256,9 @@ class Finder:
             if (n, key) in self.phrase_keys[names[i]]:
                 yield key
 
-    def anywhere(self, text: str, names: list[str], hot: list[tuple[int, Held]], tokens=None) -> list[tuple[int, int]]:
-        """(number of the key, place) of every occurrence of every anywhere key, in that order."""
-        out = []
-        inside = [(i, h) for i, h in hot if h.inside]
-        if inside:
-            tokens = tokens or starts(text, names)
-            out = [(n, tokens[i] + at) for i, h in inside for n, at in h.inside]
+    def anywhere(self, text: str, starts, hot: list[tuple[int, Held]]) -> list[tuple[int, int]]:
+        """(number of the key, place) of every occurrence of every anywhere key, in that order; starts has the words' places."""
+        out = [(n, int(starts[i]) + at) for i, h in hot for n, at in h.inside]
         for n, key in self.loose:
             at = text.find(key)
             while at >= 0:
@@ -205,12 +267,10 @@ class Finder:
         out.sort()
         return out
 
-    def chunks(self, normal: str) -> Iterator[tuple[int, Chunk]]:
-        """Chunks with symbols inside, and their numbers."""
-        pieces = normal.split(" ")
-        if self.solid.issuperset(pieces):
-            return
-        for i, piece in enumerate(pieces):
+    def chunks(self, reads: list[Reading]) -> Iterator[tuple[int, int, Chunk]]:
+        """Number, start and what it may be of each chunk with symbols inside, in the normalized reading."""
+        for i, start, end in reads[0][3] if reads else ():
+            piece = reads[0][1][start:end]
             if piece in self.solid:
                 continue
             found = self.broken.get(piece)
@@ -220,13 +280,10 @@ class Finder:
                     self.solid.add(piece)
                     continue
                 self.broken[piece] = found
-            yield i, found
+            yield i, start, found
 
     def _chunk(self, piece: str) -> Chunk | None:
-        inner = piece.strip(ASCII_SYMBOLS)
-        if inner.isalnum() if inner.isascii() else SOLID.fullmatch(inner):
-            return None
-        found = _ascii_pattern(piece, inner) if piece.isascii() else chunk_pattern(piece)
+        found = _ascii_pattern(piece) if piece.isascii() else chunk_pattern(piece)
         if found is None:
             return None
         pattern, start, end = found
@@ -238,25 +295,17 @@ class Finder:
         if lexicon.options.fold_lookalike_characters:
             if keys := self.wholes.get(len(pattern)):
                 masks += keys.named(keys.fit(pattern))
-            for size, keys in self.within.items():
-                bits = 0
-                for i in range(len(pattern) - size + 1):
-                    bits |= keys.fit(pattern[i : i + size])
-                masks += keys.named(bits)
+            if self.within:
+                masks += self.within.named(pattern)
         return Chunk(pattern, start, end, bare, order, tuple(sorted(masks)))
 
 
-def starts(text: str, names: list[str]) -> list[int]:
-    """Where each word starts: between words no character is one of a word."""
-    out, end, find = [], 0, text.find
-    for word in names:
-        start = find(word, end)
-        out.append(start)
-        end = start + len(word)
-    return out
+def starts(parts: list[str]) -> list[int]:
+    """Where each part starts in the line of them with spaces between."""
+    return list(accumulate((len(p) + 1 for p in parts[:-1]), initial=0))
 
 
-def letter_runs(names: list[str], hot: list[tuple[int, Held]]) -> list[tuple[int, int]]:
+def letter_runs(hot: list[tuple[int, Held]]) -> list[tuple[int, int]]:
     """(first, past the last) of runs of two or more single letters."""
     out: list[tuple[int, int]] = []
     letters = [i for i, h in hot if h.letter]
@@ -287,14 +336,13 @@ def halves_may_join(a: str, b: str) -> bool:
     return (x == 1) != (y == 1) and x + y >= 3 and C.VAV not in (a, b) and C.is_persian_letter(a[0]) and C.is_persian_letter(b[0])
 
 
-def halves(lexicon, names: list[str]) -> list[int]:
+def halves(lexicon, words: B.Words) -> list[int]:
     """Numbers of words that join with the next into an entry exactly."""
-    if lexicon.whole.isdisjoint(map(str.__add__, names, names[1:])):
-        return []
-    return [i for i, (a, b) in enumerate(zip(names, names[1:])) if a + b in lexicon.whole and halves_may_join(a, b)]
+    return [i for i in words.pairs if (a := words.name(i)) + (b := words.name(i + 1)) in lexicon.whole and halves_may_join(a, b)]
 
 
-def _ascii_pattern(piece: str, inner: str) -> tuple[str, int, int] | None:
+def _ascii_pattern(piece: str) -> tuple[str, int, int] | None:
+    inner = piece.strip(ASCII_SYMBOLS)
     if len(inner) < 3 or inner.lower() == inner.upper():
         return None
     pattern, start = inner.translate(ASCII_PATTERN), len(piece) - len(piece.lstrip(ASCII_SYMBOLS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +32,25 @@ class Guard:
     def _column(self, name: str, kind: str, text: Column | str, **more) -> Column:
         lexicon, function = self.lexicon, getattr(rowmatch, name)
 
+        def made(batch: pd.Series) -> Iterator:
+            """What the function makes of each text; readings are made of some texts together."""
+            for a in range(0, len(batch), relational.TEXTS):
+                texts = list(batch.iloc[a : a + relational.TEXTS])
+                if name == "censored":
+                    yield from function(lexicon, texts, **more)
+                elif name.endswith("_bytes"):
+                    yield from (function(lexicon, t, **more) for t in texts)
+                else:
+                    yield from (function(lexicon, t, reads, **more) for t, reads in zip(texts, lexicon.finder.readings(texts)))
+
         @F.pandas_udf(kind)
         def run(batch: pd.Series) -> pd.Series:
-            return pd.Series([function(lexicon, t, **more) for t in batch], index=batch.index, dtype=object)
+            return pd.Series(list(made(batch)), index=batch.index, dtype=object)
 
         @F.pandas_udf(kind)
         def run_rows(batch: pd.Series) -> pd.DataFrame:
             empty = dict.fromkeys(("text", "mode", "category", "evasion", "index", "length"))
-            return pd.DataFrame([function(lexicon, t, **more) or empty for t in batch], columns=list(empty))
+            return pd.DataFrame([m or empty for m in made(batch)], columns=list(empty))
 
         column = F.col(text) if isinstance(text, str) else text
         return (run_rows if kind.startswith("struct") else run)(column)
@@ -56,7 +67,7 @@ class Guard:
         return self._column("matches", MATCHES_TYPE, text)
 
     def censor(self, text: Column | str, mask: str = "*") -> Column:
-        return self._column("censor", "string", text, mask=rowmatch.validate_mask(mask))
+        return self._column("censored", "string", text, mask=rowmatch.validate_mask(mask))
 
     def matches_bytes(self, data: Column | str) -> Column:
         """As matches, of binary messages; index and length count bytes."""
@@ -78,6 +89,13 @@ class Guard:
         found = df.select(*keep, F.explode(self.matches(text)).alias("m"))
         return found.select(*keep, "m.*")
 
+    def first_table(self, df: DataFrame, text: str, *keep: str) -> DataFrame:
+        """A row for each message with a match, the first, as m, with the columns of keep.
+
+        By explode: a filter on the match would be moved below it and make it again.
+        """
+        return df.select(*keep, F.explode(F.array_compact(F.array(self.first_match(text)))).alias("m"))
+
     def hit_table(self, df: DataFrame, doc: str, text: str) -> DataFrame:
         """All hits by joins, for batches: the id, reading, evasion, stage, place, key, entry_order."""
         return relational.hits(df, doc, text, self.lexicon)

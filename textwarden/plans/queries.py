@@ -431,13 +431,13 @@ def first_match_entries(spark, sf):
     """What first_match reports, by the row path, over disguised documents; evasion as bits."""
     m = F.col("m")
     bits = F.aggregate("m.evasion", F.lit(0), lambda a, e: a + F.when(e == "repeatedLetters", 1).when(e == "lookalikeCharacters", 2).otherwise(4))
-    found = _disguised(spark, sf).select("doc_id", guard().first_match("text").alias("m")).filter("m IS NOT NULL")
+    found = guard().first_table(_disguised(spark, sf), "text", "doc_id")
     return found.select("doc_id", m["text"].alias("entry"), m["category"].alias("category"), bits.alias("evasion"))
 
 
 @query()
 def first_matches(spark, sf):
-    found = _read(spark, sf, "documents").select("doc_id", guard().first_match("text").alias("m")).filter("m IS NOT NULL")
+    found = guard().first_table(_read(spark, sf, "documents"), "text", "doc_id")
     return found.select("doc_id", "m.text", "m.category", F.array_join("m.evasion", ",").alias("evasion"), "m.index", "m.length")
 
 
