@@ -81,3 +81,19 @@ def test_first_match_is_made_once(spark, sf_dir):
 
     for name in ("first_matches", "first_match_entries"):
         assert explained(QUERIES[name](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
+def test_regions_of_parts_and_missing_values_equal_sql(spark, tmp_path):
+    """Quantities between whole numbers, lines without a part, a quantity or a supplier, several lines of one number."""
+    import duckdb
+
+    from textwarden.plans.queries import ORACLES, QUERIES
+
+    sql = """SELECT CAST(k % 40 AS BIGINT) AS l_orderkey, CASE WHEN k % 23 = 0 THEN NULL ELSE CAST(k * 31 % 211 AS BIGINT) END AS l_partkey, CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(k * 7 % 19 AS BIGINT) END AS l_suppkey,
+    CAST(1 + k * 5 % 4 AS INTEGER) AS l_linenumber, CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(k * 13 % 27 AS DOUBLE) / 2 END AS l_quantity FROM range(600) r(k)"""
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE lineitem AS {sql}")
+    db.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    found, wanted = QUERIES["merge_regions"](spark, str(tmp_path)), db.sql(ORACLES["merge_regions"])
+    order = [found.columns.index(c) for c in wanted.columns]
+    assert sorted(map(str, (tuple(r[k] for k in order) for r in found.collect()))) == sorted(map(str, wanted.fetchall()))

@@ -241,9 +241,9 @@ def merge_regions(candidates: DataFrame, doc: str) -> DataFrame:
     is no overlap. The entry is that of the longest hit, then the first in the list; its evasion is the
     least among its hits in the island.
     """
-    order = Window.partitionBy(doc).orderBy("start", F.desc("end"))
+    order = Window.partitionBy(doc).orderBy(F.asc_nulls_last("start"), F.desc_nulls_last("end"), F.asc_nulls_last("entry_order"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0)
+    opens = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
     islands = candidates.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     best = F.max_by("entry_order", F.struct("hit_length", -F.col("entry_order")))
     per_entry = islands.groupBy(doc, "island", "entry_order").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("hit_length").alias("hit_length"), F.min("evasion").alias("evasion"))

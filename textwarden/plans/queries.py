@@ -408,7 +408,8 @@ def merge_regions(spark, sf):
     """Interval islands over order lines, as candidates of matches."""
     lines = _read(spark, sf, "lineitem")
     start = F.col("l_partkey") % 97
-    candidates = lines.select(F.col("l_orderkey").alias("id"), start.alias("start"), (start + 1 + F.col("l_quantity")).cast("long").alias("end"), (1 + F.col("l_quantity")).cast("long").alias("hit_length"), F.col("l_linenumber").cast("int").alias("entry_order"), (F.col("l_suppkey") % 8).cast("int").alias("evasion"))
+    end = F.rint(start + 1 + F.col("l_quantity")).cast("long")  # SQL's cast rounds, Spark's cuts
+    candidates = lines.select(F.col("l_orderkey").alias("id"), start.alias("start"), end.alias("end"), (end - start).alias("hit_length"), F.col("l_linenumber").cast("int").alias("entry_order"), (F.col("l_suppkey") % 8).cast("int").alias("evasion"))
     return relational.merge_regions(candidates, "id")
 
 
