@@ -97,3 +97,25 @@ def test_regions_of_parts_and_missing_values_equal_sql(spark, tmp_path):
     found, wanted = QUERIES["merge_regions"](spark, str(tmp_path)), db.sql(ORACLES["merge_regions"])
     order = [found.columns.index(c) for c in wanted.columns]
     assert sorted(map(str, (tuple(r[k] for k in order) for r in found.collect()))) == sorted(map(str, wanted.fetchall()))
+
+
+def test_equal_texts_are_looked_at_once_a_batch(spark, tmp_path):
+    """The lexicon goes to a worker with a file that each look at a text adds a line to."""
+    from textwarden.operators import rowmatch
+    from textwarden.plans.guard import Guard
+
+    log = f"{tmp_path}/seen"
+
+    def noted(lexicon, text, reads, look=rowmatch.matches):
+        with open(log, "a") as f:
+            f.write(f"{text}\n")
+        return look(lexicon, text, reads)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rowmatch, "matches", noted)
+        guard = Guard(wordlist.parse("click"))
+        df = spark.createDataFrame([("click",), ("view",), (None,)] * 50, "text string").coalesce(1)
+        rows = df.select("text", guard.matches("text").alias("m")).collect()
+    assert [len(r.m) for r in rows] == [1, 0, 0] * 50
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["None", "click", "view"]

@@ -32,10 +32,19 @@ class Guard:
     def _column(self, name: str, kind: str, text: Column | str, **more) -> Column:
         lexicon, function = self.lexicon, getattr(rowmatch, name)
 
-        def made(batch: pd.Series) -> Iterator:
-            """What the function makes of each text; readings are made of some texts together."""
+        def made(batch: pd.Series) -> Iterable:
+            """What the function makes of each text, of equal ones once."""
+            texts = batch.tolist()
+            distinct = list(dict.fromkeys(texts))
+            if len(distinct) == len(texts):
+                return of_each(texts)
+            found = dict(zip(distinct, of_each(distinct)))
+            return [found[t] for t in texts]
+
+        def of_each(batch: list) -> Iterator:
+            """Readings are made of some texts together."""
             for a in range(0, len(batch), relational.TEXTS):
-                texts = list(batch.iloc[a : a + relational.TEXTS])
+                texts = batch[a : a + relational.TEXTS]
                 if name == "censored":
                     yield from function(lexicon, texts, **more)
                 elif name.endswith("_bytes"):
